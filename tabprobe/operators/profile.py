@@ -298,7 +298,7 @@ def categorical_summary(df: DataFrame, cols: Sequence[str], top_k: int = 5) -> D
     return res.select(
         "column", F.col("n").alias("count"), "unique_values", "top_value",
         rnd(F.col("top_count") * 100.0 / F.col("n"), 2).alias("top_value_pct"),
-        "bottom_value", "bottom_value_count", r4(F.col("entropy")).alias("entropy"),
+        "bottom_value", "bottom_value_count", r4(F.col("entropy")).alias("entropy"), "top_count",
         r4(F.col("top_count") / F.col("n")).alias("dominance"),
         r4(F.col("unique_values") / F.greatest(F.col("n"), F.lit(1))).alias("cardinality_ratio"))
 
