@@ -1,10 +1,12 @@
-"""Column profile (B1–B16): one row per column, computed with a few long-form jobs.
-
-Jobs per call, independent of the number of columns:
-  basics      one aggregation per physical kind (numeric / string / datetime)
-  numeric     moments, exact quantiles (ranks.quantiles), bound-dependent counts
-  categorical value counts → top-k by a limited window (WindowGroupLimit)
-  datetime    min / max / distinct
+"""Column profile (B1–B16): one row per column, computed from per-column value counts.
+
+For each physical kind (numeric / string / datetime) the table is melted to
+``(column, value)`` and counted once: ``(column, value, t)`` — one shuffle,
+combined map-side, so hot values collapse to one row. Everything else is
+derived from those counts, which are never larger than the input and usually
+far smaller: non-null and distinct counts, min / max, exact central moments,
+exact quantiles (ranks.quantiles_from_counts), outlier counts, top-k and
+entropy, the boolean / datetime tests (run once per distinct value).
 Only per-column rows reach the driver.
 """
 
@@ -13,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprobe.functions.columns import rnd, c, is_bool, is_datetime, is_numeric, is_string, r4
+from tabprobe.functions.columns import c, is_bool, is_datetime, is_float, is_numeric, is_string, r4, rnd
 from tabprobe.functions.joins import bounded_broadcast
 from tabprobe.functions.moments import chi2_sf_2dof, sample_kurt, sample_skew, with_dagostino
 from tabprobe.functions.shapiro import shapiro_wilk
@@ -39,6 +42,8 @@ SHAPIRO_SAMPLE = 500
 NORMALITY_MIN_N = 8
 ALPHA = 0.05
 
+_LEVEL = StorageLevel.MEMORY_AND_DISK
+
 
 def column_kind(dt: T.DataType) -> str:
     if is_numeric(dt) or is_bool(dt):
@@ -54,61 +59,98 @@ def kinds(df: DataFrame) -> dict[str, str]:
     return {f.name: column_kind(f.dataType) for f in df.schema.fields}
 
 
+def _freeze(df: DataFrame) -> DataFrame:
+    """Collect a per-column result (few rows) and rebuild it, so later steps do not recompute it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _meta(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     rows = [(name, i, df.schema[name].dataType.simpleString(), column_kind(df.schema[name].dataType))
             for i, name in enumerate(df.columns) if name in set(cols)]
     return df.sparkSession.createDataFrame(rows, "column string, pos int, dtype string, kind string")
 
 
+# ── value counts per kind (NULL kept as its own value, for the missing count) ─
+
+def numeric_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return numeric_long(df, cols).groupBy("column", "value").agg(F.count("*").alias("t"))
+
+
+def string_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return melt(df, cols, lambda d, n: c(n).cast("string"), value_type="string").groupBy("column", "value").agg(
+        F.count("*").alias("t"))
+
+
+def datetime_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return melt(df, cols, lambda d, n: c(n).cast("timestamp_ntz"), value_type="timestamp_ntz").groupBy(
+        "column", "value").agg(F.count("*").alias("t"))
+
+
+def _parses(v: F.Column) -> F.Column:
+    return F.coalesce(v.rlike(DATETIME_PATTERN) & F.try_to_timestamp(v).isNotNull(), F.lit(False))
+
+
+def _basics_from_counts(vc: DataFrame, kind: str) -> DataFrame:
+    v, t = F.col("value"), F.col("t")
+    nn = v.isNotNull()
+    common = [F.sum("t").alias("n_rows"), F.coalesce(F.sum(F.when(nn, t)), F.lit(0)).cast("long").alias("n"),
+              F.count(v).alias("nunique")]
+    if kind == "numeric":
+        extra = [(F.sum(F.when(nn & ~v.isin(0.0, 1.0), 1).otherwise(0)) == 0).alias("bool_ok"),
+                 F.lit(False).alias("parse_ok"), F.lit(None).cast("double").alias("avg_len")]
+    elif kind == "string":
+        extra = [(F.sum(F.when(nn & ~v.isin(*BOOLEAN_WORDS), 1).otherwise(0)) == 0).alias("bool_ok"),
+                 ((F.sum(F.when(nn & ~_parses(v), 1).otherwise(0)) == 0) & (F.count(v) > 0)).alias("parse_ok"),
+                 (F.sum(F.when(nn, t * F.length(v))) / F.sum(F.when(nn, t))).cast("double").alias("avg_len")]
+    else:
+        extra = [F.lit(False).alias("bool_ok"), F.lit(False).alias("parse_ok"), F.lit(None).cast("double").alias("avg_len")]
+    return vc.groupBy("column").agg(*common, *extra)
+
+
+def _other_basics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    lg = melt(df, cols, lambda d, n: c(n).isNotNull(), value_type="boolean")
+    return lg.groupBy("column").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("value")).alias("n"), F.lit(None).cast("long").alias("nunique"),
+        F.lit(False).alias("bool_ok"), F.lit(False).alias("parse_ok"), F.lit(None).cast("double").alias("avg_len"))
+
+
+class Counts:
+    """The per-kind value-count tables of one DataFrame, persisted while a profile is built."""
+
+    def __init__(self, df: DataFrame, cols: Sequence[str] | None = None, persist: bool = True):
+        cols = list(df.columns if cols is None else cols)
+        kd = kinds(df)
+        self.df = df
+        self.cols = cols
+        self.by_kind = {k: [x for x in cols if kd[x] == k] for k in ("numeric", "string", "datetime", "other")}
+        self.vc = {}
+        build = {"numeric": numeric_counts, "string": string_counts, "datetime": datetime_counts}
+        for k, fn in build.items():
+            if self.by_kind[k]:
+                t = fn(df, self.by_kind[k])
+                self.vc[k] = t.persist(_LEVEL) if persist else t
+
+    def basics(self) -> DataFrame:
+        parts = [_basics_from_counts(v, k) for k, v in self.vc.items()]
+        if self.by_kind["other"]:
+            parts.append(_other_basics(self.df, self.by_kind["other"]))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out = out.withColumn("missing", F.col("n_rows") - F.col("n"))
+        return _meta(self.df, self.cols).join(out, "column", "inner")
+
+    def release(self) -> None:
+        for v in self.vc.values():
+            v.unpersist()
+
+
 def column_basics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``(column, pos, dtype, kind, n_rows, n, missing, nunique, bool_ok, parse_ok, avg_len)``."""
-    cols = list(df.columns if cols is None else cols)
-    kd = kinds(df)
-    parts = []
-    num = [x for x in cols if kd[x] == "numeric"]
-    if num:
-        lg = numeric_long(df, num)
-        v = F.col("value")
-        parts.append(lg.groupBy("column").agg(
-            F.count("*").alias("n_rows"), F.count(v).alias("n"),
-            F.countDistinct(v).alias("nunique"),
-            (F.sum(F.when(~v.isin(0.0, 1.0), 1).otherwise(0)) == 0).alias("bool_ok"),
-            F.lit(False).alias("parse_ok"), F.lit(None).cast("double").alias("avg_len")))
-    strs = [x for x in cols if kd[x] == "string"]
-    if strs:
-        lg = melt(df, strs, lambda d, n: c(n), value_type="string")
-        v = F.col("value")
-        parses = v.rlike(DATETIME_PATTERN) & F.try_to_timestamp(v).isNotNull()
-        parts.append(lg.groupBy("column").agg(
-            F.count("*").alias("n_rows"), F.count(v).alias("n"),
-            F.countDistinct(v).alias("nunique"),
-            (F.sum(F.when(~v.isin(*BOOLEAN_WORDS), 1).otherwise(0)) == 0).alias("bool_ok"),
-            ((F.sum(F.when(v.isNotNull() & ~F.coalesce(parses, F.lit(False)), 1).otherwise(0)) == 0)
-             & (F.count(v) > 0)).alias("parse_ok"),
-            F.avg(F.length(v)).cast("double").alias("avg_len")))
-    dts = [x for x in cols if kd[x] == "datetime"]
-    if dts:
-        lg = melt(df, dts, lambda d, n: c(n).cast("timestamp_ntz"), value_type="timestamp_ntz")
-        v = F.col("value")
-        parts.append(lg.groupBy("column").agg(
-            F.count("*").alias("n_rows"), F.count(v).alias("n"), F.countDistinct(v).alias("nunique"),
-            F.lit(False).alias("bool_ok"), F.lit(False).alias("parse_ok"),
-            F.lit(None).cast("double").alias("avg_len")))
-    other = [x for x in cols if kd[x] == "other"]
-    if other:
-        lg = melt(df, other, lambda d, n: c(n).isNotNull(), value_type="boolean")
-        parts.append(lg.groupBy("column").agg(
-            F.count("*").alias("n_rows"), F.count_if(F.col("value")).alias("n"),
-            F.lit(None).cast("long").alias("nunique"), F.lit(False).alias("bool_ok"),
-            F.lit(False).alias("parse_ok"), F.lit(None).cast("double").alias("avg_len")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.withColumn("missing", F.col("n_rows") - F.col("n"))
-    return _meta(df, cols).join(out, "column", "inner")
-
-
-def semantic_type_expr(name: F.Column | None = None) -> F.Column:
+    return Counts(df, cols, persist=False).basics()
+
+
+def semantic_type_expr() -> F.Column:
     """The eight rules, in the reference's order, over a ``column_basics`` row."""
     n, u, kind = F.col("n"), F.col("nunique"), F.col("kind")
     ratio = u / F.greatest(n, F.lit(1))
@@ -141,31 +183,57 @@ def profile_route_expr() -> F.Column:
             .otherwise(F.lit("categorical")))
 
 
-def semantic_types(df: DataFrame, cols: Sequence[str] | None = None, target: str | None = None) -> DataFrame:
-    """B1 + B2 + B3: type, missing count / % and cardinality per column."""
-    b = column_basics(df, cols)
-    return (b.withColumn("semantic_type", semantic_type_expr())
+def with_semantics(basics: DataFrame, target: str | None = None) -> DataFrame:
+    return (basics.withColumn("semantic_type", semantic_type_expr())
             .withColumn("profile_type", profile_route_expr())
             .withColumn("missing_pct", rnd(F.try_divide(F.col("missing") * 100.0, F.col("n_rows")), 2))
             .withColumn("cardinality", F.col("nunique"))
             .withColumn("is_target", F.col("column") == F.lit(target) if target else F.lit(False)))
 
 
-# ── numeric profile ───────────────────────────────────────────────────────────
+def semantic_types(df: DataFrame, cols: Sequence[str] | None = None, target: str | None = None) -> DataFrame:
+    """B1 + B2 + B3: type, missing count / % and cardinality per column."""
+    return with_semantics(column_basics(df, cols), target)
 
-def numeric_moments(long_df: DataFrame, group_cols: Sequence[str] = ("column",)) -> DataFrame:
-    v = F.col("value")
-    return long_df.groupBy(*group_cols).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.var_samp(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.stddev_pop(v).alias("sd_pop"),
-        F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
-        F.sum(v).alias("sum"))
 
+# ── numeric profile from counts ───────────────────────────────────────────────
 
-def _freeze(df: DataFrame) -> DataFrame:
-    """Collect a per-column result (few rows) and rebuild it, so later joins do not recompute it."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+def numeric_stats(nvc: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """Per column n, mean, std, var, min, max, g1, g2, sd_pop, zeros, negatives, q1, median, q3, outlier counts.
+
+    Central moments come from a second pass over the counts with the exact mean
+    (stable, unlike raw power sums). Returns a small frozen DataFrame.
+    """
+    v, t = F.col("value"), F.col("t")
+    vc = nvc.where(v.isNotNull())
+    a1 = _freeze(vc.groupBy("column").agg(
+        F.sum("t").alias("n"), (F.sum(t * v) / F.sum("t")).alias("mean"), F.min(v).alias("min"),
+        F.max(v).alias("max"), F.coalesce(F.sum(F.when(v == 0, t)), F.lit(0)).alias("zeros"),
+        F.coalesce(F.sum(F.when(v < 0, t)), F.lit(0)).alias("negatives"), F.count("*").alias("distinct")))
+    meta = {r["column"]: r for r in a1.collect()}
+    n_cols = len(meta)
+    d = v - F.col("mean")
+    a2 = (vc.join(bounded_broadcast(a1.select("column", "mean"), n_cols), "column").groupBy("column").agg(
+        F.sum(t * d * d).alias("m2"), F.sum(t * d * d * d).alias("m3"), F.sum(t * d * d * d * d).alias("m4")))
+    d_max = max([r["distinct"] for r in meta.values()] or [0])
+    qs = ranks.pivot_quantiles(
+        ranks.quantiles_from_counts(vc, [0.25, 0.5, 0.75], sizes=(d_max, n_cols), rows_per_bucket=rows_per_bucket),
+        {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    base = _freeze(a1.join(a2, "column").join(qs, "column", "left"))
+    n = F.col("n").cast("double")
+    base = base.select(
+        "*", (F.col("m2") / (n - 1)).alias("variance"), F.sqrt(F.col("m2") / (n - 1)).alias("std"),
+        F.sqrt(F.col("m2") / n).alias("sd_pop"),
+        F.when(F.col("m2") > 0, (F.col("m3") / n) / F.pow(F.col("m2") / n, 1.5)).alias("g1"),
+        F.when(F.col("m2") > 0, (F.col("m4") / n) / ((F.col("m2") / n) * (F.col("m2") / n)) - 3).alias("g2"))
+    iqr = F.col("q3") - F.col("q1")
+    bounds = base.select("column", "mean", "sd_pop", (F.col("q1") - 1.5 * iqr).alias("lower"),
+                         (F.col("q3") + 1.5 * iqr).alias("upper"))
+    outl = (vc.join(bounded_broadcast(bounds, n_cols), "column").groupBy("column").agg(
+        F.coalesce(F.sum(F.when((v < F.col("lower")) | (v > F.col("upper")), t)), F.lit(0)).alias("iqr_out"),
+        F.coalesce(F.sum(F.when((F.col("sd_pop") > 0) & (F.abs(v - F.col("mean")) > 3 * F.col("sd_pop")), t)),
+                   F.lit(0)).alias("z_out")))
+    return _freeze(base.join(outl, "column", "left"))
 
 
 def shapiro_by_group(long_df: DataFrame, group_cols: Sequence[str], sample: int = SHAPIRO_SAMPLE,
@@ -192,35 +260,26 @@ def shapiro_by_group(long_df: DataFrame, group_cols: Sequence[str], sample: int
     return samp.select(*group_cols, "value").groupBy(*group_cols).applyInPandas(run, schema)
 
 
+def _numeric_profile(df: DataFrame, nvc: DataFrame, rows_per_bucket: int, with_shapiro: bool) -> DataFrame:
+    res = numeric_stats(nvc, rows_per_bucket)
+    small = [r["column"] for r in res.select("column", "n").collect()
+             if NORMALITY_MIN_N <= (r["n"] or 0) <= SHAPIRO_MAX_N]
+    if with_shapiro and small:
+        sw = _freeze(shapiro_by_group(numeric_long(df, small), ["column"]))
+        res = res.join(sw, "column", "left")
+    else:
+        res = res.withColumn("sw_stat", F.lit(None).cast("double")).withColumn("sw_p", F.lit(None).cast("double"))
+    return finish_numeric(res)
+
+
 def numeric_summary(df: DataFrame, cols: Sequence[str], rows_per_bucket: int = ranks.ROWS_PER_BUCKET,
                     with_shapiro: bool = True) -> DataFrame:
     """B4–B10 for numeric columns: one row per column (values rounded as the reference reports them)."""
-    cols = list(cols)
-    spark = df.sparkSession
-    lg = numeric_long(df, cols)
-    mom = _freeze(numeric_moments(lg))
-    stats = {r["column"]: r for r in mom.collect()}
-    n_max = max([r["n"] for r in stats.values()] or [0])
-    qs = _freeze(ranks.quantiles_wide(lg, {"q1": 0.25, "median": 0.5, "q3": 0.75},
-                                      sizes=(n_max, len(cols)), rows_per_bucket=rows_per_bucket))
-    base = mom.join(qs, "column", "left")
-    iqr = F.col("q3") - F.col("q1")
-    bounds = base.select("column", "n", "mean", "sd_pop",
-                         (F.col("q1") - 1.5 * iqr).alias("lower"), (F.col("q3") + 1.5 * iqr).alias("upper"))
-    v = F.col("value")
-    outl = (lg.where(v.isNotNull()).join(bounded_broadcast(bounds, len(cols)), "column")
-            .groupBy("column").agg(
-                F.count_if((v < F.col("lower")) | (v > F.col("upper"))).alias("iqr_out"),
-                F.count_if((F.col("sd_pop") > 0) & (F.abs(v - F.col("mean")) > 3 * F.col("sd_pop"))).alias("z_out")))
-    res = base.join(outl, "column", "left")
-    if with_shapiro:
-        small = [k for k, r in stats.items() if NORMALITY_MIN_N <= (r["n"] or 0) <= SHAPIRO_MAX_N]
-        if small:
-            sw = _freeze(shapiro_by_group(lg.where(F.col("column").isin(small)), ["column"]))
-            res = res.join(sw, "column", "left")
-    if "sw_stat" not in res.columns:
-        res = res.withColumn("sw_stat", F.lit(None).cast("double")).withColumn("sw_p", F.lit(None).cast("double"))
-    return finish_numeric(res)
+    nvc = numeric_counts(df, cols).persist(_LEVEL)
+    try:
+        return _freeze(_numeric_profile(df, nvc, rows_per_bucket, with_shapiro))
+    finally:
+        nvc.unpersist()
 
 
 def finish_numeric(res: DataFrame) -> DataFrame:
@@ -283,9 +342,8 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
             .select("column", F.col("rank").cast("long").alias("rank"), "value", "count"))
 
 
-def categorical_summary(df: DataFrame, cols: Sequence[str], top_k: int = 5) -> DataFrame:
-    """Count, unique, top/bottom value, entropy, dominance, cardinality ratio."""
-    counts = label_counts(df, cols)
+def categorical_from_counts(counts: DataFrame) -> DataFrame:
+    """B11–B13 from ``(column, value, count)``: count, unique, top/bottom value, entropy, dominance, ratio."""
     tot = counts.groupBy("column").agg(F.sum("count").alias("n"), F.count("*").alias("unique_values"))
     withn = counts.join(tot, "column")
     p = F.col("count") / F.col("n")
@@ -303,8 +361,36 @@ def categorical_summary(df: DataFrame, cols: Sequence[str], top_k: int = 5) -> D
         r4(F.col("unique_values") / F.greatest(F.col("n"), F.lit(1))).alias("cardinality_ratio"))
 
 
+def categorical_summary(df: DataFrame, cols: Sequence[str], top_k: int = 5) -> DataFrame:
+    """B11–B13 for the given columns (labels as pandas prints them)."""
+    return categorical_from_counts(label_counts(df, cols))
+
+
+def _labels_from_numeric_counts(df: DataFrame, nvc: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Label counts of numeric columns routed to the categorical profile (booleans, ids, constants)."""
+    v = F.col("value")
+    lab = None
+    for x in cols:
+        dt = df.schema[x].dataType
+        e = (F.when(v == 1, "True").otherwise("False") if is_bool(dt)
+             else v.cast("string") if is_float(dt) else v.cast("long").cast("string"))
+        lab = F.when(F.col("column") == x, e) if lab is None else lab.when(F.col("column") == x, e)
+    return (nvc.where(F.col("column").isin(*cols) & v.isNotNull())
+            .select("column", lab.alias("value"), F.col("t").alias("count")))
+
+
 # ── datetime profile ──────────────────────────────────────────────────────────
 
+def _datetime_from_counts(dvc: DataFrame) -> DataFrame:
+    v = F.col("value")
+    agg = dvc.where(v.isNotNull()).groupBy("column").agg(
+        F.sum("t").alias("count"), F.min(v).alias("tmin"), F.max(v).alias("tmax"), F.count("*").alias("unique_dates"))
+    secs = F.unix_micros(F.col("tmax").cast("timestamp")) - F.unix_micros(F.col("tmin").cast("timestamp"))
+    return agg.select("column", "count", F.col("tmin").cast("string").alias("min"),
+                      F.col("tmax").cast("string").alias("max"),
+                      F.floor(secs / F.lit(86_400_000_000)).cast("long").alias("range_days"), "unique_dates")
+
+
 def datetime_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, min, max, whole-day range, distinct values."""
     kd = kinds(df)
@@ -313,42 +399,59 @@ def datetime_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return c(name).cast("timestamp_ntz") if kd[name] == "datetime" else F.try_to_timestamp(c(name)).cast("timestamp_ntz")
 
     lg = melt(df, cols, as_ts, value_type="timestamp_ntz")
-    v = F.col("value")
-    agg = lg.groupBy("column").agg(F.count(v).alias("count"), F.min(v).alias("tmin"), F.max(v).alias("tmax"),
-                                   F.countDistinct(v).alias("unique_dates"))
-    secs = F.unix_micros(F.col("tmax").cast("timestamp")) - F.unix_micros(F.col("tmin").cast("timestamp"))
-    return agg.select("column", "count", F.col("tmin").cast("string").alias("min"),
-                      F.col("tmax").cast("string").alias("max"),
-                      F.floor(secs / F.lit(86_400_000_000)).cast("long").alias("range_days"), "unique_dates")
+    return _datetime_from_counts(lg.groupBy("column", "value").agg(F.count("*").alias("t")))
 
 
 # ── all together ──────────────────────────────────────────────────────────────
 
 def profile_columns(df: DataFrame, target: str | None = None, rows_per_bucket: int = ranks.ROWS_PER_BUCKET,
                     with_shapiro: bool = True) -> DataFrame:
-    """One row per column: semantic type, missing, cardinality and the profile of its route."""
-    sem = _freeze(semantic_types(df, target=target))
-    routes = {r["column"]: r["profile_type"] for r in sem.select("column", "profile_type").collect()}
-    num = [x for x in df.columns if routes.get(x) == "numeric"]
-    cat = [x for x in df.columns if routes.get(x) == "categorical"]
-    dts = [x for x in df.columns if routes.get(x) == "datetime"]
-    parts = []
-    if num:
-        parts.append(numeric_summary(df, num, rows_per_bucket, with_shapiro))
-    if cat:
-        parts.append(categorical_summary(df, cat))
-    if dts:
-        d = datetime_summary(df, dts)
-        parts.append(d.withColumnsRenamed({"min": "min_time", "max": "max_time"}))
-    body = None
-    for p in parts:
-        body = p if body is None else body.unionByName(p, allowMissingColumns=True)
-    out = sem.select("column", "pos", "dtype", "kind", "semantic_type", "profile_type", "n_rows",
-                     "missing", "missing_pct", "cardinality", "is_target")
-    out = out.withColumnRenamed("missing", "missing_count")
-    if body is not None:
-        out = out.join(body, "column", "left")
-    return out
+    """One row per column: semantic type, missing, cardinality and the profile of its route.
+
+    One counting shuffle per physical kind; the per-column result is collected
+    (one row per column) and returned as a small local DataFrame.
+    """
+    counts = Counts(df)
+    try:
+        sem = _freeze(with_semantics(counts.basics(), target))
+        routes = {r["column"]: (r["profile_type"], r["kind"]) for r in sem.select("column", "profile_type", "kind").collect()}
+        num = [x for x in df.columns if routes.get(x, (None,))[0] == "numeric"]
+        cat_s = [x for x in df.columns if routes.get(x) == ("categorical", "string")]
+        cat_n = [x for x in df.columns if routes.get(x) == ("categorical", "numeric")]
+        dts = [x for x in df.columns if routes.get(x) == ("datetime", "datetime")]
+        dstr = [x for x in df.columns if routes.get(x) == ("datetime", "string")]
+        parts = []
+        if num:
+            nvc = counts.vc["numeric"].where(F.col("column").isin(*num))
+            parts.append(_numeric_profile(df, nvc, rows_per_bucket, with_shapiro))
+        cat_parts = []
+        if cat_s:
+            cat_parts.append(counts.vc["string"].where(F.col("column").isin(*cat_s) & F.col("value").isNotNull())
+                             .select("column", "value", F.col("t").alias("count")))
+        if cat_n:
+            cat_parts.append(_labels_from_numeric_counts(df, counts.vc["numeric"], cat_n))
+        if cat_parts:
+            cc = cat_parts[0] if len(cat_parts) == 1 else cat_parts[0].unionByName(cat_parts[1])
+            parts.append(categorical_from_counts(cc))
+        dparts = []
+        if dts:
+            dparts.append(counts.vc["datetime"].where(F.col("column").isin(*dts)))
+        if dstr:
+            dparts.append(counts.vc["string"].where(F.col("column").isin(*dstr)).select(
+                "column", F.try_to_timestamp("value").cast("timestamp_ntz").alias("value"), "t"))
+        if dparts:
+            dd = dparts[0] if len(dparts) == 1 else dparts[0].unionByName(dparts[1])
+            parts.append(_datetime_from_counts(dd).withColumnsRenamed({"min": "min_time", "max": "max_time"}))
+        body = None
+        for p in parts:
+            body = p if body is None else body.unionByName(p, allowMissingColumns=True)
+        out = sem.select("column", "pos", "dtype", "kind", "semantic_type", "profile_type", "n_rows",
+                         F.col("missing").alias("missing_count"), "missing_pct", "cardinality", "is_target")
+        if body is not None:
+            out = out.join(body, "column", "left")
+        return _freeze(out)
+    finally:
+        counts.release()
 
 
 def column_type_lists(sem: DataFrame) -> DataFrame:
@@ -372,4 +475,4 @@ def table_overview(df: DataFrame) -> DataFrame:
     k = len(df.columns)
     return df.agg(F.count(F.lit(1)).alias("num_rows"), (size.cast("double") / 1048576).alias("mb")).select(
         "num_rows", F.lit(k).cast("long").alias("num_columns"), (F.col("num_rows") * k).alias("total_cells"),
-        rnd("mb", 3).alias("memory_usage_mb"))
+        rnd(F.col("mb"), 3).alias("memory_usage_mb"))

@@ -1,20 +1,18 @@
-"""Exact average ranks and exact quantiles without a global sort.
+"""Exact average ranks and exact quantiles from value counts, without a global sort.
 
-Both start from ``value_counts``: one row per distinct value and group with its
-row count ``t``. Values are cut into ordered buckets by approximate quantile
-edges (a bounded sketch per group); bucket totals give each bucket's offset
-(a tiny table), and a window *partitioned by (group, bucket)* gives the
-running count inside a bucket. So no task ever sorts a whole group: the largest
-window partition is one bucket of distinct values, and the number of buckets
-grows with the data (``rows_per_bucket``).
+Everything starts from ``value_counts``: one row per (group, distinct value)
+with its row count ``t`` — one shuffle of the input, combined map-side, so a
+value that holds a third of all rows is a single row. Distinct values are then
+cut into ordered buckets by approximate quantile edges of the distinct values
+(a bounded sketch per group); bucket totals give each bucket's offset (a tiny
+table), and a window *partitioned by (group, bucket)* gives the running count
+inside a bucket. No task sorts more than one bucket of distinct values, and the
+number of buckets grows with the data (``rows_per_bucket``).
 
 * start     = rows of the group with a smaller value (0-based position)
 * avg_rank  = start + (t + 1) / 2          (ties get the average rank)
 * quantile p at position p·(n−1), linear between the two neighbours, which is
   pandas' default and DuckDB's ``quantile_cont``.
-
-A value that holds a third of all rows is a single ``(value, t)`` row after the
-map-side combine, so hot values cost nothing extra.
 """
 
 from __future__ import annotations
@@ -31,23 +29,27 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 1024
 
 
-def group_sizes(long_df: DataFrame, group_cols: Sequence[str]) -> tuple[int, int]:
-    """(largest non-null count of any group, number of groups) — one small job."""
-    row = (long_df.where(F.col("value").isNotNull()).groupBy(*group_cols).count()
-           .agg(F.max("count").alias("m"), F.count("*").alias("g")).first())
+def value_counts(long_df: DataFrame, group_cols: Sequence[str] = ("column",)) -> DataFrame:
+    """``(group..., value, t)`` for the non-null values of each group."""
+    return (long_df.where(F.col("value").isNotNull())
+            .groupBy(*group_cols, "value").agg(F.count("*").alias("t")))
+
+
+def distinct_sizes(vc: DataFrame, group_cols: Sequence[str]) -> tuple[int, int]:
+    """(most distinct values in a group, number of groups) — one small job over the counts."""
+    row = vc.groupBy(*group_cols).count().agg(F.max("count").alias("m"), F.count("*").alias("g")).first()
     return int(row["m"] or 0), int(row["g"] or 0)
 
 
-def bucket_edges(long_df: DataFrame, group_cols: Sequence[str], n_max: int,
-                 rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
-                 accuracy: int = 10_000):
-    """Ordered bucket ranges per group from an approximate-quantile sketch, or None for one bucket."""
-    buckets = min(max_buckets, max(1, math.ceil(n_max / max(rows_per_bucket, 1))))
+def assign_buckets(vc: DataFrame, group_cols: Sequence[str], d_max: int,
+                   rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
+                   accuracy: int = 10_000) -> DataFrame:
+    """Add ``bucket``: ordered ranges of distinct values, ≈ ``rows_per_bucket`` values each."""
+    buckets = min(max_buckets, max(1, math.ceil(d_max / max(rows_per_bucket, 1))))
     if buckets <= 1:
-        return None
+        return vc.withColumn("bucket", F.lit(0))
     probs = [k / buckets for k in range(1, buckets)]
-    sk = (long_df.where(F.col("value").isNotNull()).groupBy(*group_cols)
-          .agg(F.percentile_approx("value", probs, accuracy).alias("edges")))
+    sk = vc.groupBy(*group_cols).agg(F.percentile_approx("value", probs, accuracy).alias("edges"))
     rows = []
     for r in sk.collect():  # one row per group, `buckets` numbers each
         key = tuple(r[g] for g in group_cols)
@@ -55,32 +57,21 @@ def bucket_edges(long_df: DataFrame, group_cols: Sequence[str], n_max: int,
         bounds = [None] + edges + [None]
         for b in range(len(bounds) - 1):
             rows.append(key + (b, bounds[b], bounds[b + 1]))
-    spark = long_df.sparkSession
-    schema = ", ".join([f"`{g}` {long_df.schema[g].dataType.simpleString()}" for g in group_cols]
+    schema = ", ".join([f"`{g}` {vc.schema[g].dataType.simpleString()}" for g in group_cols]
                        + ["bucket int", "lo double", "hi double"])
-    return spark.createDataFrame(rows, schema), len(rows)
-
-
-def value_counts(long_df: DataFrame, group_cols: Sequence[str], edges=None) -> DataFrame:
-    """``(group..., bucket, value, t)``: row count per distinct non-null value."""
-    base = long_df.where(F.col("value").isNotNull())
-    if edges is None:
-        base = base.withColumn("bucket", F.lit(0))
-    else:
-        edf, n_rows = edges
-        e = bounded_broadcast(edf.withColumnsRenamed({g: f"__e_{g}" for g in group_cols}), n_rows)
-        cond = None
-        for g in group_cols:
-            x = base[g].eqNullSafe(e[f"__e_{g}"])
-            cond = x if cond is None else cond & x
-        cond = cond & (e["lo"].isNull() | (base["value"] >= e["lo"])) & (e["hi"].isNull() | (base["value"] < e["hi"]))
-        base = base.join(e, cond, "inner").drop(*[f"__e_{g}" for g in group_cols], "lo", "hi")
-    return base.groupBy(*group_cols, "bucket", "value").agg(F.count("*").alias("t"))
-
-
-def bucket_offsets(vc: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    edf = vc.sparkSession.createDataFrame(rows, schema).withColumnsRenamed({g: f"__e_{g}" for g in group_cols})
+    e = bounded_broadcast(edf, len(rows))
+    cond = None
+    for g in group_cols:
+        x = vc[g] == e[f"__e_{g}"]
+        cond = x if cond is None else cond & x
+    cond = cond & (e["lo"].isNull() | (vc["value"] >= e["lo"])) & (e["hi"].isNull() | (vc["value"] < e["hi"]))
+    return vc.join(e, cond, "inner").drop(*[f"__e_{g}" for g in group_cols], "lo", "hi")
+
+
+def bucket_offsets(vcb: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """``(group..., bucket, bt, off, n)`` — tiny: groups × buckets rows."""
-    bt = vc.groupBy(*group_cols, "bucket").agg(F.sum("t").alias("bt"))
+    bt = vcb.groupBy(*group_cols, "bucket").agg(F.sum("t").alias("bt"))
     w_run = Window.partitionBy(*group_cols).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*group_cols)
     return bt.select(*group_cols, "bucket", "bt",
@@ -88,52 +79,41 @@ def bucket_offsets(vc: DataFrame, group_cols: Sequence[str]) -> DataFrame:
                      F.sum("bt").over(w_all).alias("n"))
 
 
-def _positions(vc: DataFrame, offsets: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+def _running(vcb: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     w = (Window.partitionBy(*group_cols, "bucket").orderBy("value")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = vc.withColumn("cum", F.sum("t").over(w))
-    o = offsets.select(*group_cols, "bucket", "off", "n")
-    joined = ranked.join(o, [*group_cols, "bucket"], "inner")
-    return joined.withColumn("start", F.col("off") + F.col("cum") - F.col("t")).drop("cum", "off")
-
+    return vcb.withColumn("cum", F.sum("t").over(w))
 
-def rank_table(long_df: DataFrame, group_cols: Sequence[str] = ("column",),
-               sizes: tuple[int, int] | None = None,
-               rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """``(group..., value, t, start, avg_rank, n)`` over the non-null values of each group.
 
-    ``sizes`` = (largest group, number of groups) when the caller already knows them.
-    """
+def ranks_from_counts(vc: DataFrame, group_cols: Sequence[str], sizes: tuple[int, int] | None = None,
+                      rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """``(group..., value, t, start, avg_rank, n)`` from value counts."""
     group_cols = list(group_cols)
-    n_max, _ = sizes if sizes is not None else group_sizes(long_df, group_cols)
-    edges = bucket_edges(long_df, group_cols, n_max, rows_per_bucket, max_buckets)
-    vc = value_counts(long_df, group_cols, edges)
-    offsets = bucket_offsets(vc, group_cols)
-    pos = _positions(vc, offsets, group_cols)
-    return pos.select(*group_cols, "value", "t", "start",
-                      (F.col("start") + (F.col("t") + 1) / 2.0).alias("avg_rank"), "n")
+    d_max, n_groups = sizes if sizes is not None else distinct_sizes(vc, group_cols)
+    vcb = assign_buckets(vc, group_cols, d_max, rows_per_bucket, max_buckets)
+    offsets = bucket_offsets(vcb, group_cols).select(*group_cols, "bucket", "off", "n")
+    pos = _running(vcb, group_cols).join(bounded_broadcast(offsets, n_groups * max_buckets), [*group_cols, "bucket"])
+    pos = pos.withColumn("start", F.col("off") + F.col("cum") - F.col("t"))
+    return pos.select(*group_cols, "value", "t", "start", (F.col("start") + (F.col("t") + 1) / 2.0).alias("avg_rank"), "n")
 
 
-def quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequence[str] = ("column",),
-              sizes: tuple[int, int] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-              max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Exact linear-interpolated quantiles ``(group..., p, q)``.
+def rank_table(long_df: DataFrame, group_cols: Sequence[str] = ("column",), sizes: tuple[int, int] | None = None,
+               rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """``(group..., value, t, start, avg_rank, n)`` over the non-null values of each group."""
+    return ranks_from_counts(value_counts(long_df, group_cols), group_cols, sizes, rows_per_bucket, max_buckets)
+
+
+def quantiles_from_counts(vc: DataFrame, probs: Sequence[float], group_cols: Sequence[str] = ("column",),
+                          sizes: tuple[int, int] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                          max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Exact linear-interpolated quantiles ``(group..., p, q)`` from value counts.
 
-    Only the buckets that hold a target position are sorted; the rest of the
-    distinct values are counted and never ordered.
+    With several buckets, only the buckets that hold a target position are sorted.
     """
     group_cols = list(group_cols)
-    n_max, n_groups = sizes if sizes is not None else group_sizes(long_df, group_cols)
-    if n_max <= rows_per_bucket:
-        # Every group fits in one bucket: Spark's exact ``percentile`` holds at most
-        # n_max distinct values per group, the same bound as one bucket's window.
-        parr = F.array(*[F.lit(float(p)) for p in probs])
-        agg = long_df.where(F.col("value").isNotNull()).groupBy(*group_cols).agg(
-            F.percentile("value", [float(p) for p in probs]).alias("__qs"))
-        return agg.select(*group_cols, F.inline(F.arrays_zip(parr.alias("p"), F.col("__qs").alias("q"))))
-    edges = bucket_edges(long_df, group_cols, n_max, rows_per_bucket, max_buckets)
-    vc = value_counts(long_df, group_cols, edges)
-    offsets = bucket_offsets(vc, group_cols)
+    d_max, n_groups = sizes if sizes is not None else distinct_sizes(vc, group_cols)
+    vcb = assign_buckets(vc, group_cols, d_max, rows_per_bucket, max_buckets)
+    offsets = bucket_offsets(vcb, group_cols)
     bound = 2 * max(n_groups, 1) * len(probs)  # each (group, p) touches at most two buckets
     parr = F.array(*[F.lit(float(p)) for p in probs])
     targets = (offsets.select(*group_cols, "bucket", "bt", "off", "n", F.explode(parr).alias("p"))
@@ -142,11 +122,10 @@ def quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequence[s
                .withColumn("frac", F.col("pos") - F.col("lo"))
                .where(((F.col("lo") >= F.col("off")) & (F.col("lo") < F.col("off") + F.col("bt")))
                       | ((F.col("hi") >= F.col("off")) & (F.col("hi") < F.col("off") + F.col("bt")))))
-    needed = targets.select(*group_cols, "bucket").distinct()
-    vc_needed = vc.join(bounded_broadcast(needed, bound), [*group_cols, "bucket"], "left_semi")
-    w = (Window.partitionBy(*group_cols, "bucket").orderBy("value")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = vc_needed.withColumn("cum", F.sum("t").over(w))
+    if d_max > rows_per_bucket:
+        needed = targets.select(*group_cols, "bucket").distinct()
+        vcb = vcb.join(bounded_broadcast(needed, bound), [*group_cols, "bucket"], "left_semi")
+    ranked = _running(vcb, group_cols)
     tsel = targets.select(*group_cols, "bucket", "off", "p", "lo", "hi", "frac")
     hit = (ranked.join(bounded_broadcast(tsel, bound), [*group_cols, "bucket"], "inner")
            .withColumn("start", F.col("off") + F.col("cum") - F.col("t"))
@@ -161,9 +140,20 @@ def quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequence[s
                       (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
 
 
+def quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequence[str] = ("column",),
+              sizes: tuple[int, int] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+              max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Exact quantiles ``(group..., p, q)`` of ``value`` per group (see module doc)."""
+    return quantiles_from_counts(value_counts(long_df, group_cols), probs, group_cols, sizes,
+                                 rows_per_bucket, max_buckets)
+
+
+def pivot_quantiles(qs: DataFrame, probs: dict[str, float], group_cols: Sequence[str] = ("column",)) -> DataFrame:
+    aggs = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name) for name, p in probs.items()]
+    return qs.groupBy(*group_cols).agg(*aggs)
+
+
 def quantiles_wide(long_df: DataFrame, probs: dict[str, float], group_cols: Sequence[str] = ("column",),
                    **kw) -> DataFrame:
     """Quantiles pivoted to one column per name, e.g. ``{"q1": .25, "median": .5, "q3": .75}``."""
-    qs = quantiles(long_df, list(probs.values()), group_cols, **kw)
-    aggs = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name) for name, p in probs.items()]
-    return qs.groupBy(*group_cols).agg(*aggs)
+    return pivot_quantiles(quantiles(long_df, list(probs.values()), group_cols, **kw), probs, group_cols)
