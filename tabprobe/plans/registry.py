@@ -28,4 +28,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
-    from tabprobe.plans import q_eda, q_features, q_models, q_profile, q_stats  # noqa: F401
+    from tabprobe.plans import q_eda, q_features, q_models, q_profile, q_sources, q_stats  # noqa: F401
