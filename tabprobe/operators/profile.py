@@ -137,8 +137,11 @@ class Counts:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.withColumn("missing", F.col("n_rows") - F.col("n"))
-        return _meta(self.df, self.cols).join(out, "column", "inner")
+        # left join from the schema: an empty table still gets one row per column (zero counts)
+        out = _meta(self.df, self.cols).join(out, "column", "left").fillna(0, ["n_rows", "n"]).fillna(
+            False, ["bool_ok", "parse_ok"])
+        out = out.withColumn("nunique", F.when(F.col("kind") != "other", F.coalesce("nunique", F.lit(0))))
+        return out.withColumn("missing", F.col("n_rows") - F.col("n"))
 
     def release(self) -> None:
         for v in self.vc.values():
