@@ -240,7 +240,7 @@ def numeric_stats(nvc: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET)
 
 
 def shapiro_by_group(long_df: DataFrame, group_cols: Sequence[str], sample: int = SHAPIRO_SAMPLE,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, sizes: DataFrame | None = None, n_groups: int = 0) -> DataFrame:
     """``(group..., sw_stat, sw_p)`` on a seeded ≤ ``sample``-row sample per group.
 
     The sample is a row_number ≤ k window (planned as a WindowGroupLimit, so only
@@ -249,6 +249,12 @@ def shapiro_by_group(long_df: DataFrame, group_cols: Sequence[str], sample: int
     """
     group_cols = list(group_cols)
     u = long_df.where(F.col("value").isNotNull()).withColumn("__u", F.rand(seed))
+    if sizes is not None:
+        # Bernoulli pre-filter at ~4× the sample size per group: the k smallest keys survive it (unless
+        # fewer than k pass, which is vanishingly rare), so the sample is unchanged but the sort is small.
+        fr = sizes.select(*group_cols, F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n")).alias("__frac"))
+        u = (u.join(bounded_broadcast(fr, n_groups), group_cols, "left")
+             .where(F.col("__u") < F.coalesce(F.col("__frac"), F.lit(1.0))).drop("__frac"))
     w = Window.partitionBy(*group_cols).orderBy("__u")
     samp = u.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= sample)
     schema = T.StructType([long_df.schema[g] for g in group_cols]

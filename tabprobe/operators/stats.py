@@ -103,7 +103,12 @@ def levene(df: DataFrame, features: Sequence[str], target: str,
 
 def two_group_tests(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Student and Welch t, their dof, and Cohen's d for features with exactly two groups."""
-    g = group_summary(df, features, target).where(F.col("n_groups") == 2)
+    return two_group_from(group_summary(df, features, target))
+
+
+def two_group_from(g: DataFrame) -> DataFrame:
+    """Two-group tests from a ``_groups`` table (no pass over the rows)."""
+    g = g.where(F.col("n_groups") == 2)
     a = g.where(F.col("g") == 1).select("column", F.col("class").alias("class_1"), F.col("n").alias("n1"),
                                         F.col("mean").alias("m1"), F.col("var").alias("v1"))
     b = g.where(F.col("g") == 2).select("column", F.col("class").alias("class_2"), F.col("n").alias("n2"),
@@ -150,6 +155,11 @@ def mann_whitney(df: DataFrame, features: Sequence[str], target: str,
                  rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """U of the first group, tie- and continuity-corrected z, two-sided p (two-group features)."""
     lgk, g = _kept(df, features, target)
+    return mann_whitney_from(lgk, g, rows_per_bucket)
+
+
+def mann_whitney_from(lgk: DataFrame, g: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """Mann-Whitney from kept long rows ``(column, class, value)`` and their ``_groups`` table."""
     two = g.where(F.col("n_groups") == 2).select("column", "class", "g")
     lg2 = lgk.join(two.select("column"), "column", "left_semi")
     rs, ties = rank_sums(lg2, rows_per_bucket)
@@ -169,6 +179,11 @@ def kruskal(df: DataFrame, features: Sequence[str], target: str,
             rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """E8 + E16: tie-corrected H, dof, epsilon² and p per feature (k ≥ 2 groups)."""
     lgk, g = _kept(df, features, target)
+    return kruskal_from(lgk, g, rows_per_bucket)
+
+
+def kruskal_from(lgk: DataFrame, g: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """Kruskal-Wallis from kept long rows and their ``_groups`` table."""
     multi = g.where(F.col("n_groups") >= 2).select("column").distinct()
     rs, ties = rank_sums(lgk.join(multi, "column", "left_semi"), rows_per_bucket)
     agg = rs.groupBy("column").agg(F.sum(F.col("R") * F.col("R") / F.col("n")).alias("s"),
@@ -205,7 +220,11 @@ def _r_t(r: F.Column, n: F.Column) -> F.Column:
 
 def pearson_test(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Pairwise-complete Pearson r with the target, t and p (n ≥ 10)."""
-    a = _corr_agg(_xy_long(df, features, target), "value", "y").where(F.col("n") >= MIN_PAIRS)
+    return pearson_from(_xy_long(df, features, target))
+
+
+def pearson_from(xy: DataFrame) -> DataFrame:
+    a = _corr_agg(xy, "value", "y").where(F.col("n") >= MIN_PAIRS)
     a = a.select("column", "n", _r().alias("r"))
     t = _r_t(F.col("r"), F.col("n"))
     return a.withColumn("t", t).withColumn(
@@ -224,9 +243,20 @@ def with_ranks(lg: DataFrame, value: str, group_cols: Sequence[str], out: str,
 def spearman_test(df: DataFrame, features: Sequence[str], target: str,
                   rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """Spearman rho (Pearson on average ranks over complete pairs), t and p."""
-    lg = _xy_long(df, features, target)
+    return spearman_from(_xy_long(df, features, target), rows_per_bucket)
+
+
+def spearman_from(lg: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET,
+                  y_rows: DataFrame | None = None) -> DataFrame:
+    """``y_rows`` (one ``y`` per input row) may be given when no feature has NULLs: every feature then
+    pairs with the same rows, so the target is ranked once instead of once per feature."""
     lg = with_ranks(lg, "value", ["column"], "rx", rows_per_bucket)
-    lg = with_ranks(lg, "y", ["column"], "ry", rows_per_bucket)
+    if y_rows is None:
+        lg = with_ranks(lg, "y", ["column"], "ry", rows_per_bucket)
+    else:
+        rt = ranks.rank_table(y_rows.select(F.lit("y").alias("column"), F.col("y").alias("value")), ["column"],
+                              rows_per_bucket=rows_per_bucket).select(F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
+        lg = lg.join(rt, "y")
     a = _corr_agg(lg, "rx", "ry").where(F.col("n") >= MIN_PAIRS).select("column", "n", _r().alias("rho"))
     t = _r_t(F.col("rho"), F.col("n"))
     return a.withColumn("t", t).withColumn(
@@ -456,12 +486,22 @@ def _levene_long(lg: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) ->
     return a.select("column", p_f(F.col("f"), F.col("df1"), F.col("df2")).alias("levene_p"))
 
 
+def _levene_kept(lgk: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """Levene p per feature from rows already restricted to kept groups."""
+    med = ranks.quantiles(lgk, [0.5], group_cols=["column", "class"], rows_per_bucket=rows_per_bucket)
+    dev = (lgk.join(med.select("column", "class", F.col("q").alias("med")), ["column", "class"])
+           .select("column", "class", F.abs(F.col("value") - F.col("med")).alias("value")))
+    a = _anova_from_groups(_groups(dev, 1))
+    return a.select("column", p_f(F.col("f"), F.col("df1"), F.col("df2")).alias("levene_p"))
+
+
 def normality_gate(lg: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Per group, Shapiro-Wilk p > α on a ≤ 500-row sample; False when n < 8. Then all groups must pass."""
     from tabprobe.operators.profile import shapiro_by_group
+    from tabprobe.operators.profile import _freeze
     g = list(group_cols)
-    n = lg.groupBy(*g).agg(F.count("*").alias("n"))
-    sw = shapiro_by_group(lg, g)
+    n = _freeze(lg.groupBy(*g).agg(F.count("*").alias("n")))
+    sw = shapiro_by_group(lg, g, sizes=n, n_groups=n.count())
     ok = n.join(sw, g, "left").withColumn("ok", (F.col("n") >= 8) & F.coalesce(F.col("sw_p") > ALPHA, F.lit(False)))
     return ok.groupBy("column").agg(F.bool_and("ok").alias("normal"))
 
@@ -487,7 +527,7 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
     from tabprobe.operators.profile import column_basics
     spark = df.sparkSession
     feats = [x for x in (features or df.columns) if x != target]
-    info = {r["column"]: r for r in column_basics(df, feats).select("column", "kind", "nunique").collect()}
+    info = {r["column"]: r for r in column_basics(df, feats).select("column", "kind", "nunique", "missing").collect()}
     parts, skipped = [], []
     num, cat = [], []
     for x in feats:
@@ -502,16 +542,28 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
             skipped.append((x, "unsupported_dtype"))
     if problem_type == "classification":
         if num:
-            lg = class_long(df, num, target)
-            g = _groups(lg)
+            # one long form, persisted; group stats frozen; only the tests the gates pick are computed
+            from pyspark import StorageLevel
+            from tabprobe.operators.profile import _freeze
+            lg = class_long(df, num, target).persist(StorageLevel.MEMORY_AND_DISK)
+            g = _freeze(_groups(lg))
+            n_kept = g.count()
             ng = g.groupBy("column").agg(F.max("n_groups").alias("n_groups"))
-            lgk = lg.join(g.select("column", "class"), ["column", "class"], "left_semi")
-            gate = normality_gate(lgk, ["column", "class"]).join(_levene_long(lg), "column", "left")
-            gate = gate.select("column", "normal", F.coalesce(F.col("levene_p") > ALPHA, F.lit(False)).alias("eqv"))
-            two = two_group_tests(df, num, target)
-            mw = mann_whitney(df, num, target)
-            an = anova_oneway(df, num, target)
-            kw = kruskal(df, num, target)
+            lgk = lg.join(bounded_broadcast(g.select("column", "class"), n_kept), ["column", "class"], "left_semi")
+            gate = normality_gate(lgk, ["column", "class"]).join(_levene_kept(lgk), "column", "left")
+            gate = _freeze(gate.select("column", "normal", F.coalesce(F.col("levene_p") > ALPHA, F.lit(False)).alias("eqv")))
+            chosen = {r["column"]: (r["n_groups"], bool(r["normal"]), bool(r["eqv"]))
+                      for r in ng.join(gate, "column", "left").collect()}
+            rank2 = [x for x, (k, nm, ev) in chosen.items() if k == 2 and not nm]
+            rankk = [x for x, (k, nm, ev) in chosen.items() if k > 2 and not (nm and ev)]
+            two = two_group_from(g)
+            an = _anova_from_groups(g).withColumn("p_value", p_f(F.col("f"), F.col("df1"), F.col("df2")))
+            mw = (mann_whitney_from(lgk.where(F.col("column").isin(*rank2)), g) if rank2 else
+                  spark.createDataFrame([], "column string, u double, p_value double"))
+            kw = (kruskal_from(lgk.where(F.col("column").isin(*rankk)), g) if rankk else
+                  spark.createDataFrame([], "column string, h double, p_value double, epsilon_squared double"))
+            mw, kw = _freeze(mw.select("column", "u", "p_value")), _freeze(kw.select("column", "h", "p_value", "epsilon_squared"))
+            lg.unpersist()
             base = ng.join(gate, "column", "left")
             j = (base.join(two.select("column", "t_student", "p_student", "t_welch", "p_welch", "cohens_d"), "column", "left")
                  .join(mw.select("column", F.col("u").alias("u_mw"), F.col("p_value").alias("p_mw")), "column", "left")
@@ -551,12 +603,18 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
             parts.append(_rows(pb, feature=F.col("column"), test=F.lit("point_biserial"), statistic=F.col("r"),
                                p_value=F.col("p_value"), effect_size=F.abs("r"), effect_metric=F.lit("point_biserial_r")))
         if rest:
-            xy = _xy_long(df, rest, target)
+            from pyspark import StorageLevel
+            from tabprobe.operators.profile import _freeze
+            xy = _xy_long(df, rest, target).persist(StorageLevel.MEMORY_AND_DISK)
             nx = normality_gate(xy.select("column", "value"), ["column"]).withColumnRenamed("normal", "xn")
             ny = normality_gate(xy.select("column", F.col("y").alias("value")), ["column"]).withColumnRenamed("normal", "yn")
-            pe = pearson_test(df, rest, target).select("column", "r", F.col("p_value").alias("pp"))
-            sp = spearman_test(df, rest, target).select("column", "rho", F.col("p_value").alias("ps"))
-            j = pe.join(sp, "column").join(nx, "column", "left").join(ny, "column", "left")
+            pe = pearson_from(xy).select("column", "r", F.col("p_value").alias("pp"))
+            y_rows = None
+            if all((info[x]["missing"] or 0) == 0 for x in rest):
+                y_rows = df.select(as_double(df, target).alias("y")).where(F.col("y").isNotNull())
+            sp = spearman_from(xy, y_rows=y_rows).select("column", "rho", F.col("p_value").alias("ps"))
+            j = _freeze(pe.join(sp, "column").join(nx, "column", "left").join(ny, "column", "left"))
+            xy.unpersist()
             both = F.coalesce(F.col("xn"), F.lit(False)) & F.coalesce(F.col("yn"), F.lit(False))
             stat = F.when(both, F.col("r")).otherwise(F.col("rho"))
             parts.append(_rows(j, feature=F.col("column"), test=F.when(both, "pearson").otherwise("spearman"),
