@@ -22,7 +22,12 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")), app="tabprobe-bench")
     from tabprobe.plans import headline
 
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()  # JVM warm-up, not timed
+    # JIT / codegen warm-up on the smallest tables, not timed (set BENCH_WARMUP=0 to skip)
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    if os.environ.get("BENCH_WARMUP", "1") == "1" and os.path.isdir(warm_dir):
+        for fn in headline.QUERIES.values():
+            fn(spark, warm_dir)
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     times = {}
     for name, fn in headline.QUERIES.items():
         t0 = time.time()

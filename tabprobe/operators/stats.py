@@ -516,6 +516,34 @@ def _rows(df: DataFrame, **cols) -> DataFrame:
     return df.select(*[(cols[k] if k in cols else F.lit(None)).cast(t).alias(k) for k, t in base.items()])
 
 
+def router_info(df: DataFrame, feats: Sequence[str]) -> dict:
+    """Per feature: kind, missing count and ``nunique`` capped at 3 (0, 1, 2 or 3 = "more than two").
+
+    Two global aggregations without a shuffle: count / min / max, then the count of
+    values strictly between min and max (zero ⇔ at most two distinct values).
+    """
+    from tabprobe.operators.profile import column_kind
+    kinds_ = {x: column_kind(df.schema[x].dataType) for x in feats}
+    cols = [x for x in feats if kinds_[x] in ("numeric", "string", "datetime")]
+
+    def val(x):
+        return as_double(df, x) if kinds_[x] == "numeric" else c(x)
+
+    out = {x: {"kind": kinds_[x], "nunique": None, "missing": None} for x in feats}
+    if not cols:
+        return out
+    a = df.agg(F.count(F.lit(1)).alias("__n"), *[f(val(x)).alias(f"{p}{i}") for i, x in enumerate(cols)
+                                                  for p, f in (("c", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    mids = {x: i for i, x in enumerate(cols) if a[f"c{i}"] and a[f"lo{i}"] != a[f"hi{i}"]}
+    b = df.agg(*[F.count_if((val(x) > F.lit(a[f"lo{i}"])) & (val(x) < F.lit(a[f"hi{i}"]))).alias(f"m{i}")
+                 for x, i in mids.items()]).first() if mids else None
+    for i, x in enumerate(cols):
+        n = a[f"c{i}"]
+        u = 0 if n == 0 else 1 if x not in mids else (2 if b[f"m{i}"] == 0 else 3)
+        out[x] = {"kind": kinds_[x], "nunique": u, "missing": a["__n"] - n}
+    return out
+
+
 def test_features(df: DataFrame, target: str, problem_type: str = "classification",
                   features: Sequence[str] | None = None) -> DataFrame:
     """One row per feature with the test the reference's rules pick, its statistic, p and effect.
@@ -524,10 +552,9 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
     insufficient_groups, insufficient_data, insufficient_categories). BH
     adjustment (E20) and the effect label (E17) are added at the end.
     """
-    from tabprobe.operators.profile import column_basics
     spark = df.sparkSession
     feats = [x for x in (features or df.columns) if x != target]
-    info = {r["column"]: r for r in column_basics(df, feats).select("column", "kind", "nunique", "missing").collect()}
+    info = router_info(df, feats)
     parts, skipped = [], []
     num, cat = [], []
     for x in feats:
