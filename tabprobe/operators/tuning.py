@@ -41,6 +41,7 @@ SPACES = {
                                           "max_leaf_nodes": ("int", 15, 127, 8), "min_samples_leaf": ("int", 10, 50, 5)},
     "bagging_classifier": {"n_estimators": ("int", 10, 100, 10), "max_samples": ("float", 0.5, 1.0, False),
                            "max_features": ("float", 0.5, 1.0, False)},
+    "ada_boost_classifier": {"n_estimators": ("int", 25, 250, 25), "learning_rate": ("float", 0.01, 2, True)},
     "mlp_classifier": {"hidden_layer_sizes": ("cat", [(64,), (128,), (256,), (64, 32), (128, 64)]),
                        "alpha": ("float", 1e-6, 0.1, True), "learning_rate_init": ("float", 1e-4, 0.05, True)},
     "decision_tree_regressor": {"max_depth": ("cat", [None, 4, 6, 8, 12, 16]), "min_samples_leaf": ("int", 1, 12, 1)},
@@ -140,6 +141,8 @@ def build_estimator(family: str, p: dict, n_train: int, k: int):
         return OneVsRest(classifier=est) if family.endswith("classifier") and k > 2 else est
     if family == "mlp_classifier":
         return ("mlp", p)
+    if family == "ada_boost_classifier":
+        return ("ada", p)
     if family == "linear_regression":
         return LinearRegression(fitIntercept=bool(p["fit_intercept"]), regParam=0.0)
     if family == "ridge_regressor":
@@ -155,6 +158,10 @@ def _fit_predict(est, train: DataFrame, test: DataFrame, k: int, n_features: int
     if isinstance(est, tuple) and est[0] == "ridge_ovr":
         models = M._ridge_ovr_fit(train, k, est[1], weight)
         return M._ridge_ovr_predict(models, test, k)
+    if isinstance(est, tuple) and est[0] == "ada":
+        from tabprobe.operators.boosting import ada_boost_fit
+        model = ada_boost_fit(train, k, int(est[1]["n_estimators"]), est[1]["learning_rate"], weight)
+        return model.transform(test)
     if isinstance(est, tuple) and est[0] == "mlp":
         p = est[1]
         layers = [n_features, *p["hidden_layer_sizes"], k]

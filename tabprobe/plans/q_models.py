@@ -181,6 +181,18 @@ def g3_model_context(spark, sf):
     return spark.createDataFrame([tuple(ctx.values())], "n_rows long, n_features long, n_significant long, high_dimensional boolean")
 
 
+@register("g7_ada_boost_classifier")
+def g7_ada_boost_classifier(spark, sf):
+    """SAMME AdaBoost (10 weighted stumps) on prepared fx_status; accuracy and weighted F1 on held-out rows."""
+    from tabprobe.operators.boosting import ada_boost_fit
+    out, model, _ = prepared(spark, sf, "fx_status", "o_orderstatus", "o_orderkey", "classification")
+    classes = M.label_index(out.where(~F.col("is_test")), "o_orderstatus")
+    d = M.assemble(M.with_label(out, "o_orderstatus", classes), model.columns)
+    ada = ada_boost_fit(d.where(~F.col("is_test")), len(classes), n_estimators=10, learning_rate=0.5)
+    m = M.classification_metrics(ada.transform(d.where(F.col("is_test"))))
+    return m.withColumn("rounds", F.lit(len(ada.stumps)).cast("long"))
+
+
 @register("g16_feature_importance")
 def g16_feature_importance(spark, sf):
     """Tree importances of a depth-6 tree refit on all prepared fx_status rows."""
