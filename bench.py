@@ -19,7 +19,9 @@ from tabprobe.session import local_session  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")), app="tabprobe-bench")
+    # shuffle partitions = cores locally (AQE coalesces further); on a cluster size them to the data instead
+    parts = int(os.environ.get("BENCH_SHUFFLE", cpus if cpus.isdigit() else "8"))
+    spark = local_session(cpus, shuffle_partitions=parts, app="tabprobe-bench")
     from tabprobe.plans import headline
 
     # JIT / codegen warm-up on the smallest tables, not timed (set BENCH_WARMUP=0 to skip)
