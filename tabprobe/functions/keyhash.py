@@ -1,7 +1,8 @@
 """Key hash for samples, folds and splits: the same integer arithmetic in Spark and SQL.
 
-h(key) = (key · 1103515245 + 12345) mod 2^31 for BIGINT keys in [0, ~8e9); the
-low 16 bits are dropped before taking a fold or a percentage. Composite or
+h(key) = ((key mod 2^31) · 1103515245 + 12345) mod 2^31 for BIGINT keys ≥ 0 (the
+key is reduced first so the product never overflows); the low 16 bits are
+dropped before taking a fold or a percentage. Composite or
 string keys are first reduced with ``xxhash64`` (Spark-only). Unlike
 ``randomSplit``/``sample`` the assignment depends only on the key, so it is the
 same under any partitioning and after any task retry.
@@ -23,7 +24,8 @@ MOD = 2147483648
 
 
 def key_hash(key: Column) -> Column:
-    return F.pmod(key.cast("long") * F.lit(MULT) + F.lit(INC), F.lit(MOD))
+    # reduce the key mod 2^31 first: same value for every key ≥ 0, and the product stays < 2^63
+    return F.pmod(F.pmod(key.cast("long"), F.lit(MOD)) * F.lit(MULT) + F.lit(INC), F.lit(MOD))
 
 
 def row_key(cols: Sequence[str]) -> Column:
@@ -42,7 +44,7 @@ def is_test(key: Column, test_pct: int = 20) -> Column:
 
 
 def sql_hash(key: str) -> str:
-    return f"(({key}) * {MULT} + {INC}) % {MOD}"
+    return f"((({key}) % {MOD}) * {MULT} + {INC}) % {MOD}"
 
 
 def sql_fold(key: str, k: int) -> str:
