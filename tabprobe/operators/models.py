@@ -36,10 +36,9 @@ def split(df: DataFrame, key: Sequence[str], test_pct: int = TEST_PCT) -> DataFr
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Class counts, minority/majority ratio and the primary metric it implies."""
     cnt = df.where(c(target).isNotNull()).groupBy(as_label(df, target).alias("class")).agg(F.count("*").alias("count"))
-    tot = cnt.agg(F.min("count").alias("mn"), F.max("count").alias("mx"))
-    j = cnt.crossJoin(tot)  # classes × one row
-    ratio = F.col("mn") / F.col("mx")
-    return j.select("class", "count", r4(ratio).alias("ratio"),
+    mm = cnt.agg(F.min("count").alias("mn"), F.max("count").alias("mx")).first()
+    ratio = F.lit(float(mm["mn"]) / float(mm["mx"])) if mm["mx"] else F.lit(None).cast("double")
+    return cnt.select("class", "count", r4(ratio).alias("ratio"),
                     F.when(ratio < IMBALANCE_METRIC_RATIO, "f1_weighted").otherwise("accuracy").alias("metric"))
 
 
@@ -98,7 +97,7 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     cc = confusion_counts(pred, label, prediction)
     acc = cc.agg((F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)) / F.sum("count")).alias("accuracy"))
     f1w = rep.agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"))
-    return acc.crossJoin(f1w)  # 1 × 1
+    return pred.sparkSession.createDataFrame([(acc.first()[0], f1w.first()[0])], "accuracy double, f1_weighted double")
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -253,12 +252,11 @@ def imbalance_comparison(leaderboard: DataFrame) -> DataFrame:
     """Best unweighted vs best balanced score and the chosen strategy."""
     b = leaderboard.where(F.col("score").isNotNull()).groupBy("strategy").agg(
         F.max_by(F.struct("model", "score"), F.struct("score", -F.col("position"))).alias("best"))
-    u = b.where(F.col("strategy") == "unweighted").select(F.col("best.model").alias("best_unweighted"),
-                                                         F.col("best.score").alias("unweighted_score"))
-    w = b.where(F.col("strategy") == "balanced").select(F.col("best.model").alias("best_balanced"),
-                                                       F.col("best.score").alias("balanced_score"))
-    j = u.crossJoin(w) if w.count() else u.withColumns({"best_balanced": F.lit(None).cast("string"),
-                                                        "balanced_score": F.lit(None).cast("double")})
+    best = {r["strategy"]: r["best"] for r in b.collect()}  # at most two rows
+    u, w = best.get("unweighted"), best.get("balanced")
+    j = leaderboard.sparkSession.createDataFrame(
+        [(u["model"] if u else None, u["score"] if u else None, w["model"] if w else None, w["score"] if w else None)],
+        "best_unweighted string, unweighted_score double, best_balanced string, balanced_score double")
     return j.withColumn("delta", F.col("balanced_score") - F.col("unweighted_score")).withColumn(
         "chosen", F.when(F.col("delta") > 0, "balanced").otherwise("unweighted"))
 

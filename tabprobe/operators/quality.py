@@ -120,7 +120,10 @@ def quality_score(basics_sem: DataFrame, numeric: DataFrame | None, dups: DataFr
     else:
         heavy = basics_sem.sparkSession.createDataFrame([(0,)], "heavy long")
     nc, nr = F.greatest(F.col("n_cols"), F.lit(1)), F.col("n_rows")
-    j = cols_n.crossJoin(heavy).crossJoin(dups.select("duplicate_rows"))  # 1 × 1 × 1 rows
+    a, h, d = cols_n.first(), heavy.first(), dups.first()  # three one-row aggregates
+    j = basics_sem.sparkSession.createDataFrame(
+        [(a["n_cols"], a["n_rows"], a["miss"], a["bad"], h["heavy"], d["duplicate_rows"])],
+        "n_cols long, n_rows long, miss long, bad long, heavy long, duplicate_rows long")
     comp = (1 - F.coalesce(F.try_divide(F.col("miss"), nr * F.col("n_cols")), F.lit(0.0))) * 100
     uniq = (1 - F.coalesce(F.try_divide(F.col("duplicate_rows"), nr), F.lit(0.0))) * 100
     cons = F.greatest(F.lit(0.0), (1 - F.col("bad") / nc) * 100)

@@ -262,9 +262,11 @@ def h4_best_per_model(spark, sf):
 def h8_tuning_report(spark, sf):
     """Winner, its parameters, CV and holdout score, and the per-family best table."""
     t = _trials(spark, sf)
-    best = H.best_overall(t).select(F.col("model_id").alias("winner"), F.col("params").alias("winner_params"),
-                                    F.col("cv_score").alias("winner_cv"), F.col("holdout_score").alias("winner_holdout"))
-    return H.best_per_model(t).crossJoin(best)  # per-family rows × one winner row
+    b = H.best_overall(t).first()
+    return H.best_per_model(t).withColumns({
+        "winner": F.lit(b["model_id"] if b else None).cast("string"),
+        "winner_cv": F.lit(b["cv_score"] if b else None).cast("double"),
+        "winner_holdout": F.lit(b["holdout_score"] if b else None).cast("double")})
 
 
 @register("h10_reuse_best_params")
