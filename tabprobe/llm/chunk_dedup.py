@@ -128,8 +128,11 @@ def exact_dedup(docs: DataFrame, **cutting) -> DataFrame:
     rows = verified_recipes(recipes).withColumn("key", F.xxhash64("ids", "n_bytes"))
     # the hash only deals rows out; groups are equal identifier lists
     groups = rows.groupBy("key", "n_bytes", "ids").agg(
-        F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", (-F.col("uid")).alias("u"))).alias("best"))
-    found = salted_lookup(rows, groups, ["key", "n_bytes", "ids"], "inner")
-    return found.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long"),
-                        (F.col("uid") == -F.col("best.u")).alias("kept"), "text_sha256",
-                        F.size("ids").cast("long").alias("n_chunks"))
+        F.count(F.lit(1)).alias("group_size"),
+        F.max(F.struct("doc_id", (-F.col("uid")).alias("u"))).alias("best")).where("group_size > 1")
+    found = salted_lookup(rows, groups, ["key", "n_bytes", "ids"])  # documents of their own find no group
+    alone = F.col("best").isNull()
+    return found.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("uid") == -F.col("best.u"))).alias("kept"), "text_sha256", F.size("ids").cast("long").alias("n_chunks"))
