@@ -351,7 +351,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     before = F.sum("ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1))  # a row a shard
     bases = manifest.select("part", "seq", F.coalesce(before, F.lit(0)).alias("base"))
-    decoded = manifest.repartition(F.col("path")).mapInArrow(read, DOCS)
+    # a shard a task: a given number of partitions is not merged for being few bytes of paths
+    decoded = manifest.repartition(max(1, manifest.count()), F.col("path")).mapInArrow(read, DOCS)
     return decoded.join(bases, ["part", "seq"]).select(
         "doc_id", (F.col("base") + F.col("inside")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 

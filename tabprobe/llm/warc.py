@@ -185,7 +185,8 @@ def normalise_archives(manifest: DataFrame, level: int = 6) -> DataFrame:
                         at, n = at + len(member), n + 1
                 yield pa.RecordBatch.from_pylist([{"path": target, "index": f"{target}.index", "records": n}])
 
-    return written(manifest.repartition("path").mapInArrow(rewrite, "path string, index string, records long"), "warc-members")
+    files = manifest.repartition(max(1, manifest.count()), "path")  # a given number is not merged for being few bytes
+    return written(files.mapInArrow(rewrite, "path string, index string, records long"), "warc-members")
 
 
 def _page(urn: str | None) -> int | None:
@@ -234,7 +235,7 @@ def read_archives(members: DataFrame, sizes: DataFrame | None = None) -> DataFra
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    return members.repartition("path").mapInArrow(read, READ)
+    return members.repartition(max(1, members.count()), "path").mapInArrow(read, READ)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
