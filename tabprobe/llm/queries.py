@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabprobe.llm.bayes_dedup import near_dedup
 from tabprobe.llm.chunk_dedup import exact_dedup
 from tabprobe.llm.partition_lp import shard_documents
 from tabprobe.llm.pfair import pfair_mix
+from tabprobe.llm.positional_index import decontaminate
 from tabprobe.llm.rans import token_shards
 from tabprobe.llm.trie_counts import token_counts
 from tabprobe.llm.warc import warc_round_trip
@@ -18,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with windows of 13 benchmark words, through a positional inverted index."""
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_near_items", "h")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to WARC archives, normalised to a gzip member a record, and read back."""
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -38,6 +45,11 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op8_bayes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies (three-word shingles, similarity 0.85 or more) by sequential Bayesian verification."""
+    return near_dedup(_table(spark, sf_dir, "documents"), width=3, similarity=(85, 100))
+
+
 def op9_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all documents."""
     return token_counts(_table(spark, sf_dir, "documents"))
@@ -50,9 +62,27 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op4_sharding, op6_token_shards, op7_chunk_dedup, op9_trie_counts, op10_pfair_mix)}
+    f.__name__: f for f in (op1_positional_index, op2_warc, op4_sharding, op6_token_shards, op7_chunk_dedup, op8_bayes_dedup,
+                               op9_trie_counts, op10_pfair_mix)}
 
 ORACLES: dict[str, str] = {
+    "op1_positional_index": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             win AS (SELECT item_id, least(13, len(w)) AS n,
+                            unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, greatest(1, len(w) - 12) + 1)]) AS p
+                     FROM b WHERE len(w) > 0),
+             g AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS p
+                   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win))),
+             m AS (SELECT DISTINCT g.doc_id, s, g.n, item_id FROM g JOIN win ON g.p = win.p AND g.n = win.n),
+             hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM m) GROUP BY doc_id),
+             it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+                    FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
              g AS (SELECT h, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY h)
