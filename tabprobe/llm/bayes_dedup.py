@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabprobe.llm.common import salted_lookup, text_bytes, text_slices, written
@@ -343,7 +344,7 @@ def verified_components(docs: DataFrame, classes: DataFrame, clusters: DataFrame
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), miss: float = 1e-5, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: a row a document.
+    """``doc_id, n_shingles, component_id, kept, h, stays``: a row a document; one (``doc_id``, text hash ``h``) of a group stays.
 
     Two documents are linked where Jaccard similarity of their sets of ``width``-word shingles is at least
     ``similarity`` (a fraction); ``component_id`` is the smallest ``doc_id`` reached over links. A text of fewer words is one
@@ -356,18 +357,35 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (8
     rows = written(document_classes(docs, width), "shingled")
     keys = ["ka", "kb", "n"]
     classes = rows.where("n > 0").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("rep"),
+        F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("low"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep"),
         F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     bounds = least_matches(num / den, miss)
     clusters, degree = candidate_clusters(classes, bounds, num, den, block)
     comps = written(verified_components(docs, classes, clusters, degree, width, num, den, block), "components")
-    named = classes.select("c", *keys, "members", "low").join(comps, "c", "left")
-    lows = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("comp_low"))
-    named = named.join(lows, "comp", "left").withColumn("component", F.coalesce("comp_low", "low"))
+    named = classes.select("c", *keys, "members", "low", "rep").join(comps, "c", "left")
+    # the document that stays: the smallest id (a null id last), then the smallest text hash
+    first = F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("rep.h").alias("h"))
+    lows = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("comp_low"), F.min(first).alias("comp_first"))
+    named = named.join(lows, "comp", "left").withColumn("component", F.coalesce("comp_low", "low")).withColumn(
+        "first", F.coalesce("comp_first", first))
     # classes of one document without a link need no lookup
-    told = named.where("members > 1 OR comp IS NOT NULL").select(*keys, "component", F.lit(True).alias("told"))
+    told = named.where("members > 1 OR comp IS NOT NULL").select(*keys, "component", "first", F.lit(True).alias("told"))
     out = salted_lookup(rows.select("doc_id", *keys, "h"), told, keys)
-    component = F.when(F.col("told") & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id"))
+    linked = F.coalesce("told", F.lit(False)) & (F.col("n") > 0)
+    component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
+    stays = ~linked | (F.col("doc_id").eqNullSafe(F.col("first.low")) & (F.col("h") == F.col("first.h")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "h", stays.alias("stays"))
+
+
+def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies (see ``near_dedup``); all rows without words stay."""
+    found = near_dedup(docs, **options)
+    none = F.lit(-(2**63))
+    chosen = found.where("stays").select(F.coalesce("doc_id", none).alias("__d"), F.col("h").alias("__h"),
+                                         (F.col("n_shingles") == 0).alias("__wordless")).distinct()
+    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__h", F.xxhash64("text"))
+    ranked = keyed.join(chosen, ["__d", "__h"]).withColumn("__r", F.row_number().over(W.partitionBy("__d", "__h").orderBy(F.lit(0))))
+    return ranked.where("__wordless OR __r = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -110,3 +110,17 @@ def pfair_mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int
     placed = timed.join(_positions(timed.select("slot"), span), "slot")
     position = (F.col("before") + F.col("idx") - F.col("block") * block_rows).cast("long")
     return placed.select("row.*", "mix_source", "block", "release", "deadline", "slot", position.alias("position"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (``doc_id``, ``text``, ``source`` and others) sorted by the position of a Pfair mix: all rows, no new columns.
+
+    The mix is worked out on slim rows; texts move once to their positions and once to their place in the order.
+    """
+    none = F.lit(-(2**63))
+    key = [F.coalesce(F.col("doc_id").cast("long"), none).alias("__d"), F.xxhash64("text").alias("__h")]
+    slim = docs.select(*key, F.col("source")).withColumn("o", F.xxhash64("__d", "__h"))
+    mix = pfair_mix(slim, order="o", **options).groupBy("__d", "__h").agg(F.array_sort(F.collect_list("position")).alias("__at"))
+    copy = F.row_number().over(W.partitionBy("__d", "__h").orderBy(F.lit(0)))  # equal rows take their places in any order
+    placed = docs.select("*", *key).join(mix, ["__d", "__h"]).withColumn("__c", copy).withColumn("__p", F.expr("__at[__c - 1]"))
+    return placed.orderBy("__p").select(*[F.col(f"`{c}`") for c in docs.columns])

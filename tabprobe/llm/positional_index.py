@@ -159,3 +159,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
         F.coalesce("n_near_items", F.lit(0).cast("long")).alias("n_near_items"), "h")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without contaminated rows (see ``decontaminate``)."""
+    none = F.lit(-(2**63))
+    bad = decontaminate(docs, benchmark, **options).where("contaminated").select(
+        F.coalesce("doc_id", none).alias("__d"), F.col("h").alias("__h")).distinct()
+    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(bad, ["__d", "__h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabprobe.llm.bayes_dedup import near_dedup
 from tabprobe.llm.chunk_dedup import exact_dedup
+from tabprobe.llm.context_tree import ctw_scores
 from tabprobe.llm.partition_lp import shard_documents
 from tabprobe.llm.pfair import pfair_mix
 from tabprobe.llm.positional_index import decontaminate
 from tabprobe.llm.rans import token_shards
+from tabprobe.llm.string_kernel import toxicity
 from tabprobe.llm.trie_counts import token_counts
 from tabprobe.llm.warc import warc_round_trip
 
@@ -30,11 +32,21 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a subsequence-kernel machine trained on labelled rows that are not held out."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards, counts at most one apart, equal texts together."""
     return shard_documents(_table(spark, sf_dir, "documents")).drop("linked")
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree weighting scores of all documents, with the unigram base."""
+    return ctw_scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents in rANS shards, read back."""
     return token_shards(_table(spark, sf_dir, "documents"))
@@ -47,7 +59,7 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bayes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies (three-word shingles, similarity 0.85 or more) by sequential Bayesian verification."""
-    return near_dedup(_table(spark, sf_dir, "documents"), width=3, similarity=(85, 100))
+    return near_dedup(_table(spark, sf_dir, "documents"), width=3, similarity=(85, 100)).drop("h", "stays")
 
 
 def op9_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +74,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_positional_index, op2_warc, op4_sharding, op6_token_shards, op7_chunk_dedup, op8_bayes_dedup,
+    f.__name__: f for f in (op1_positional_index, op2_warc, op3_string_kernel, op4_sharding, op5_context_tree, op6_token_shards, op7_chunk_dedup, op8_bayes_dedup,
                                op9_trie_counts, op10_pfair_mix)}
 
 ORACLES: dict[str, str] = {
