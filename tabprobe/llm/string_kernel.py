@@ -25,6 +25,7 @@ from tabprobe.llm.common import LOWER_TABLE, text_bytes, text_slices, written
 
 ORDER, SPAN, DECAY = 4, 6, 0.5
 BITS = 6  # a letter's code; 0 is between words
+EDGE = 63  # counts as a letter at both ends of a word
 PATTERNS = [(0, *p) for p in combinations(range(1, SPAN), ORDER - 1)]
 
 #: Letters a-z are 1 to 26, bytes over 0x7F (but the lead byte 0xC3) 27 to 58; white space is 0, all else is left out.
@@ -67,8 +68,9 @@ def letter_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def subsequences(word: bytes) -> Counter:
-    """The word's features: weight of each subsequence code."""
+    """The word's features, with a letter for either end: weight of each subsequence code."""
     out: Counter = Counter()
+    word = bytes([EDGE, *word, EDGE])
     n = len(word)
     for i in range(n - ORDER + 1):
         for p in PATTERNS:
@@ -109,6 +111,12 @@ def word_values(code: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.n
     """The weights of all subsequences of each word, added up."""
     if len(starts) == 0:
         return np.zeros(0, np.float32)
+    copies = np.where(code == 0, 3, 1)  # a 0 becomes an edge, a 0 and the next word's edge
+    at = (np.cumsum(copies) - 1)[code == 0]
+    code = np.repeat(code, copies)
+    code[at - 2] = code[at] = EDGE
+    code = np.concatenate([[EDGE], code[:-1]]).astype(np.uint8)
+    starts = np.concatenate([[0], at[:-1] + 1])
     n = len(code)
     c = np.concatenate([code, np.zeros(SPAN, np.uint8)]).astype(np.int32)
     word = np.concatenate([np.cumsum(code == 0), np.full(SPAN, -1)]).astype(np.int32)
@@ -232,7 +240,7 @@ def logistic_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(sample: DataFrame, landmarks: int = 128, alike: float = 0.6, rounds: int = 3, c: float = 10.0) -> StringKernelModel:
+def train(sample: DataFrame, landmarks: int = 128, alike: float = 0.6, rounds: int = 3, c: float = 0.2) -> StringKernelModel:
     """A model from a bounded sample ``text, toxic`` (0 or 1). With one label only, its score is that label throughout.
 
     The driver gets the words that mark toxic texts, then a few witness words a sampled text: both bounded by the sample.
@@ -277,7 +285,7 @@ def train(sample: DataFrame, landmarks: int = 128, alike: float = 0.6, rounds: i
         x = np.array([kernels(bytes(r["word"])) for r in picked]) @ whiten
         y = np.array([1.0 if r["toxic"] else -1.0 for r in picked])
         weight = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum()) * len(y) / 2
-        w, bias = squared_hinge(x, y, weight / len(y), c * len(y) ** 0.5)
+        w, bias = squared_hinge(x, y, weight / len(y), c * len(y))
         now = model(whiten @ w, bias)
     final = [r for r in witnesses(sample, now, 1).collect()]
     now.slope, now.shift = logistic_scale(np.array([r["value"] for r in final]) + now.bias, np.array([float(r["toxic"]) for r in final]))

@@ -19,6 +19,7 @@ SF = "/root/testdata/sf0.01"
 
 def all_subsequences(word):
     out = Counter()
+    word = bytes([sk.EDGE, *word, sk.EDGE])
     for at in combinations(range(len(word)), sk.ORDER):
         if at[-1] - at[0] < sk.SPAN:
             u = 0
