@@ -7,8 +7,8 @@ log10 probability, an end byte included; contexts do not cross documents.
 
 Counts of (context, byte) grams are gathered by a shuffle. Contexts that share their two nearest bytes form a subtree of
 their own, worked out by one task each; only the top of the tree (contexts of at most one byte: 65,536 nodes at most)
-is one small table. Documents lie in blocks; a block asks for the values of its distinct grams and words, so no model is
-held whole anywhere.
+is one small table. Documents are put into block files in the shared folder; a block asks for the values of its distinct
+grams and words and gets them by a shuffle, so no model is held whole anywhere and texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -22,15 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import LOWER_TABLE, span_hashes, text_bytes, text_slices, words_of, written
+from tabprobe.llm.common import LOWER_TABLE, shared_path, span_hashes, text_bytes, text_slices, words_of, written
+from tabprobe.llm.files import open_read, put_file
 
-#: Kinds of rows in the blocked table.
-DOC, GRAM, TOKEN = 0, 1, 2
+#: Kinds of keys that blocks ask for.
+GRAM, TOKEN = 1, 2
 #: The key of the end token; no word has it but by chance of 2 ** -64.
 END_KEY = np.uint64(0x454E44)
 #: Grams are dealt to so many subtree tasks by their two nearest context bytes.
 SUBTREES = 512
-BLOCKED = "kind int, block long, key long, uses long, doc_id long, held_out boolean, text string"
+ASKED = "kind int, block long, key long, uses long"
 
 
 # ---- grams and words of texts -----------------------------------------------------------------------------------
@@ -66,29 +67,42 @@ def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return k[first], np.add.reduceat(w, first) if len(k) else np.zeros(0, np.int64)
 
 
-def blocked_rows(docs: DataFrame, depth: int, block_bytes: int) -> DataFrame:
-    """Documents in blocks, and each block's distinct grams and words with their uses in training documents."""
+def _block_file(folder: str, block: int) -> str:
+    return f"{folder}/{block}.arrow"
+
+
+def block_keys(docs: DataFrame, folder: str, depth: int, block_bytes: int) -> DataFrame:
+    """``kind, block, key, uses``: each block's distinct grams and words with their uses in training documents.
+
+    Texts (``doc_id, held_out, text``) go to a file a block. A block is named by its task's partition and its place there, so
+    a task that runs again writes the same files.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held = TaskContext.get().partitionId(), 0, 0
+        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []
         parts: dict[int, list] = {GRAM: [], TOKEN: []}
 
-        def block() -> int:
-            return part * 1_000_000 + seq
+        def merged(found: list) -> tuple[np.ndarray, np.ndarray]:
+            return _counted(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
         def flush() -> Iterator[pa.RecordBatch]:
+            block = part * 1_000_000 + seq
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for piece in held:
+                    out.write_batch(piece)
+            put_file(_block_file(folder, block), sink.getvalue())
+            held.clear()
             for kind, found in parts.items():
-                if found:
-                    keys, uses = _counted(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-                    n = len(keys)
-                    for a in range(0, n, 100_000):
-                        m = min(n, a + 100_000) - a
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, block())), pa.array(keys[a:a + m].view(np.int64)),
-                             pa.array(uses[a:a + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.string())], names=names)
-                    found.clear()
-
-        names = ["kind", "block", "key", "uses", "doc_id", "held_out", "text"]
+                keys, uses = merged(found)
+                found.clear()
+                for a in range(0, len(keys), 100_000):
+                    m = min(len(keys), a + 100_000) - a
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, block)),
+                                                      pa.array(keys[a:a + m].view(np.int64)), pa.array(uses[a:a + m])], names=names)
+
+        names = ["kind", "block", "key", "uses"]
         for batch in batches:
             for i, n in text_slices(batch, max_bytes=2 << 20):
                 piece = batch.slice(i, n)
@@ -98,17 +112,16 @@ def blocked_rows(docs: DataFrame, depth: int, block_bytes: int) -> DataFrame:
                 for kind, (keys, at) in ((GRAM, byte_grams(data, off, depth)), (TOKEN, row_tokens(data, off))):
                     parts[kind].append(_counted(keys, np.repeat(train, np.diff(at))))
                     if len(parts[kind]) >= 4:  # merged as they come, so that memory holds distinct keys
-                        parts[kind] = [_counted(np.concatenate([f[0] for f in parts[kind]]), np.concatenate([f[1] for f in parts[kind]]))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, DOC, np.int32)), pa.array(np.full(n, block())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                     piece.column("doc_id"), piece.column("held_out"), piece.column("text")], names=names)
-                held += len(data)
-                if held >= block_bytes:
+                        parts[kind] = [merged(parts[kind])]
+                held.append(piece)
+                size += len(data)
+                if size >= block_bytes:
                     yield from flush()
-                    seq, held = seq + 1, 0
-        yield from flush()
+                    seq, size = seq + 1, 0
+        if held:
+            yield from flush()
 
-    return docs.mapInArrow(make, BLOCKED)
+    return docs.mapInArrow(make, ASKED)
 
 
 # ---- the weighted tree ------------------------------------------------------------------------------------------
@@ -261,14 +274,14 @@ def ctw_scores(docs: DataFrame, held_out=None, depth: int = 5, block_bytes: int
     rule = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(rule if held_out is None else held_out, F.lit(False)).alias("held_out"))
-    table = written(blocked_rows(rows, depth, block_bytes), "blocked")
-    asked = table.where(F.col("kind") > DOC).select("kind", "block", "key", "uses")
-    counts = written(asked.groupBy("kind", "key").agg(F.sum("uses").alias("uses")), "counts")
+    folder = shared_path(docs.sparkSession, "blocks")
+    asked = block_keys(rows, folder, depth, block_bytes)
+    counts = written(asked.groupBy("kind", "key").agg(F.sum("uses").alias("uses"), F.collect_list("block").alias("blocks")), "counts")
     total = counts.where(F.col("kind") == TOKEN).agg(F.coalesce(F.sum("uses"), F.lit(0)), F.count_if(F.col("uses") > 0)).first()
     n_train, vocabulary = int(total[0]), int(total[1])
 
     pair = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    grams = written(counts.where(F.col("kind") == GRAM).select("key", "uses", F.pmod(F.xxhash64(pair), F.lit(SUBTREES)).alias("tree")), "grams")
+    grams = counts.where(F.col("kind") == GRAM).select("key", "uses", "blocks", F.pmod(F.xxhash64(pair), F.lit(SUBTREES)).alias("tree"))
 
     def evidence(table: pa.Table) -> pa.Table:
         tree = Subtree(table.column("key").to_numpy().view(np.uint64), table.column("uses").to_numpy(), 2, depth)
@@ -276,26 +289,29 @@ def ctw_scores(docs: DataFrame, held_out=None, depth: int = 5, block_bytes: int
         node = ((near << np.uint64(8)) | (tree.keys[2] & np.uint64(255))).astype(np.int64)
         return pa.table({"node": node, "n0": tree.n0[2], "n1": tree.n1[2], "below": tree.weighted[2]})
 
-    nodes = grams.groupBy("tree").applyInArrow(lambda t: evidence(t), "node long, n0 double, n1 double, below double")
+    nodes = grams.drop("blocks").groupBy("tree").applyInArrow(lambda t: evidence(t), "node long, n0 double, n1 double, below double")
     # contexts of one byte x 255 decisions: 65,280 rows at most
     top = tree_top(nodes.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).collect())
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        return pa.table({"key": keys, "value": gram_scores(keys.view(np.uint64), table.column("uses").to_numpy(), depth, top)})
-
-    values = grams.groupBy("tree").applyInArrow(lambda t: answer(t), "key long, value double").withColumn("kind", F.lit(GRAM))
-    values = values.select("kind", "key", "value").unionByName(
-        counts.where(F.col("kind") == TOKEN).select("kind", "key", F.col("uses").cast("double").alias("value")))
-    told = asked.select("kind", F.col("block").alias("of"), "key").join(values, ["kind", "key"])
+        keys = table.column("key").to_numpy().view(np.uint64)
+        scores = gram_scores(keys, table.column("uses").to_numpy(), depth, top)
+        return pa.table({"key": table.column("key"), "value": scores, "blocks": table.column("blocks")})
+
+    values = grams.groupBy("tree").applyInArrow(lambda t: answer(t), "key long, value double, blocks array<long>")
+    words = counts.where(F.col("kind") == TOKEN).select("key", F.col("uses").cast("double").alias("value"), "blocks")
+    told = values.withColumn("kind", F.lit(GRAM)).unionByName(words.withColumn("kind", F.lit(TOKEN)))
+    told = told.select(F.explode("blocks").alias("block"), "kind", "key", "value")
     scale = math.log10(n_train + vocabulary + 1)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, key, value = (right.column(c).to_numpy() for c in ("kind", "key", "value"))
+    def score(block: int, table: pa.Table) -> pa.Table:
+        kind, key, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
         gram = _Lookup(key[kind == GRAM].view(np.uint64), value[kind == GRAM])
         word = _Lookup(key[kind == TOKEN].view(np.uint64), value[kind == TOKEN])
         out = []
-        for batch in left.combine_chunks().to_batches():
+        with open_read(_block_file(folder, block)) as f:
+            pieces = list(pa.ipc.open_stream(f.read()))
+        for batch in pieces:
             for i, n in text_slices(batch, max_bytes=2 << 20):
                 piece = batch.slice(i, n)
                 raw, off = text_bytes(piece.column("text"))
@@ -310,6 +326,6 @@ def ctw_scores(docs: DataFrame, held_out=None, depth: int = 5, block_bytes: int
         return pa.Table.from_batches(out)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    texts = table.where(F.col("kind") == DOC).select("block", "doc_id", "held_out", "text")
-    return texts.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(
-        lambda a, b: score(a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return told.groupBy("block").applyInArrow(
+        lambda key, t: score(key[0].as_py(), t),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
