@@ -29,10 +29,14 @@ def key_hash(key: Column) -> Column:
 
 
 def row_key(cols: Sequence[str]) -> Column:
-    """A non-negative BIGINT from one integer key column, or a hash of several / non-integer ones."""
-    if len(cols) == 1:
-        return c(cols[0]).cast("long")
-    return F.pmod(F.xxhash64(*[c(x) for x in cols]), F.lit(MOD))
+    """A BIGINT key: one integer column's value, else a hash of the columns (all columns where none are named)."""
+    if not cols:
+        return F.pmod(F.xxhash64(F.col("*")), F.lit(MOD))
+    hashed = F.pmod(F.xxhash64(*[c(x) for x in cols]), F.lit(MOD))
+    if len(cols) > 1:
+        return hashed
+    whole = F.typeof(c(cols[0])).isin("tinyint", "smallint", "int", "bigint")
+    return F.when(whole, c(cols[0]).try_cast("bigint")).otherwise(hashed)
 
 
 def fold_of(key: Column, k: int) -> Column:

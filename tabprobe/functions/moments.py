@@ -19,7 +19,7 @@ def sample_skew(g1: Column, n: Column) -> Column:
     n = n.cast("double")
     return (F.when(n < 3, F.lit(None).cast("double"))
             .when(g1.isNull(), F.lit(0.0))
-            .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
+            .otherwise(F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2)))
 
 
 def sample_kurt(g2: Column, n: Column) -> Column:
@@ -27,12 +27,12 @@ def sample_kurt(g2: Column, n: Column) -> Column:
     n = n.cast("double")
     return (F.when(n < 4, F.lit(None).cast("double"))
             .when(g2.isNull(), F.lit(0.0))
-            .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
+            .otherwise(F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
 
 
 def with_dagostino(df: DataFrame, g1: str = "g1", g2: str = "g2", n: str = "n", out: str = "k2") -> DataFrame:
     """Add ``out`` = Zs² + Zk² (D'Agostino 1970 skew score, Anscombe & Glynn 1983 kurtosis score)."""
-    N = F.col(n).cast("double")
+    N = F.when(F.col(n) >= 4, F.col(n).cast("double"))  # below 4 values it is not defined
     s = df.withColumns({
         "__y": F.col(g1) * F.sqrt((N + 1) * (N + 3) / (6.0 * (N - 2))),
         "__beta2": 3.0 * (N * N + 27 * N - 70) * (N + 1) * (N + 3) / ((N - 2) * (N + 5) * (N + 7) * (N + 9)),

@@ -225,7 +225,7 @@ def numeric_stats(nvc: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET)
     base = _freeze(a1.join(a2, "column").join(qs, "column", "left"))
     n = F.col("n").cast("double")
     base = base.select(
-        "*", (F.col("m2") / (n - 1)).alias("variance"), F.sqrt(F.col("m2") / (n - 1)).alias("std"),
+        "*", F.try_divide(F.col("m2"), n - 1).alias("variance"), F.sqrt(F.try_divide(F.col("m2"), n - 1)).alias("std"),
         F.sqrt(F.col("m2") / n).alias("sd_pop"),
         F.when(F.col("m2") > 0, (F.col("m3") / n) / F.pow(F.col("m2") / n, 1.5)).alias("g1"),
         F.when(F.col("m2") > 0, (F.col("m4") / n) / ((F.col("m2") / n) * (F.col("m2") / n)) - 3).alias("g2"))

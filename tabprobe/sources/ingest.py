@@ -22,6 +22,9 @@ CLASSIFICATION_MAX_DISTINCT = 10
 DATETIME_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
 
+#: A number as CSV readers take it: no type suffixes (``1d``, ``2f``), which a cast would accept.
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+
 def _parses(v):
     return F.coalesce(v.rlike(DATETIME_PATTERN) & F.try_to_timestamp(v).isNotNull(), F.lit(False))
 
@@ -35,7 +38,7 @@ def infer_types(text: DataFrame) -> DataFrame:
     for i, x in enumerate(cols):
         v = c(x)
         aggs += [F.count(v).alias(f"n{i}"), F.count(v.try_cast("bigint")).alias(f"i{i}"),
-                 F.count(v.try_cast("double")).alias(f"d{i}"),
+                 F.count(F.when(v.rlike(NUMBER), v.try_cast("double"))).alias(f"d{i}"),
                  F.count_if(v.isin("True", "False", "true", "false")).alias(f"b{i}"),
                  F.count_if(_parses(v)).alias(f"t{i}")]
     r = text.agg(*aggs).first()
