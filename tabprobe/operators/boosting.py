@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,16 @@ def ada_boost_fit(train: DataFrame, k: int, n_estimators: int = 50, learning_rat
     ensure_checkpoint_dir(train.sparkSession)
     base = train.select("features", "label", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__w"))
     total = base.agg(F.sum("__w")).first()[0]
-    w = base.withColumn("__w", F.col("__w") / F.lit(total))
+    w = base.withColumn("__w", F.col("__w") / F.lit(total)).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [w]  # this round's rows, and last round's until these are computed
+    try:
+        return _rounds(w, held, k, n_estimators, learning_rate, seed)
+    finally:
+        for x in held:
+            x.unpersist()
+
+
+def _rounds(w: DataFrame, held: list[DataFrame], k: int, n_estimators: int, learning_rate: float, seed: int) -> AdaBoostModel:
     stumps, alphas = [], []
     k = max(k, 2)
     for m in range(n_estimators):
@@ -55,6 +65,8 @@ def ada_boost_fit(train: DataFrame, k: int, n_estimators: int = 50, learning_rat
         pred = stump.transform(w).select("features", "label", "__w", "prediction")
         r = pred.agg(F.sum(F.when(F.col("prediction") != F.col("label"), F.col("__w")).otherwise(0.0)).alias("e"),
                      F.sum("__w").alias("s")).first()
+        while len(held) > 1:
+            held.pop(0).unpersist()
         err = (r["e"] or 0.0) / (r["s"] or 1.0)
         if err >= 1 - 1.0 / k:
             if not stumps:
@@ -71,4 +83,6 @@ def ada_boost_fit(train: DataFrame, k: int, n_estimators: int = 50, learning_rat
         w = w.drop("prediction")
         if (m + 1) % CHECKPOINT_EVERY == 0:
             w = w.checkpoint()
+        w = w.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(w)
     return AdaBoostModel(stumps, alphas, k)

@@ -115,10 +115,10 @@ def needs_tuning(score: float, metric: str) -> bool:
 
 
 def residual_table(pred: DataFrame, key: str, label: str = "label", prediction: str = "prediction",
-                   n: int = 3000) -> DataFrame:
-    """Actual, predicted, residual for a bounded stable sample of rows."""
+                   n: int | None = None) -> DataFrame:
+    """Actual, predicted, residual of every row; of a stable sample of ``n`` rows where ``n`` is given."""
     from tabprobe.operators.eda import stable_sample
-    s = stable_sample(pred, key, n)
+    s = pred if n is None else stable_sample(pred, key, n)
     return s.select(key, F.col(label).cast("double").alias("actual"), F.col(prediction).cast("double").alias("predicted"),
                     (F.col(label).cast("double") - F.col(prediction).cast("double")).alias("residual"))
 
@@ -147,7 +147,8 @@ def with_label(df: DataFrame, target: str, classes: Sequence[str] | None) -> Dat
 
 def classifier_candidates(n_train: int, high_dim: bool, n_significant: int) -> dict:
     """Logistic regression, ridge classifier (least squares on ±1, one-vs-rest), a small tree."""
-    c = {"logistic_regression": LogisticRegression(maxIter=200, regParam=0.0),
+    # penalty 1 / (C·n) with C = 1
+    c = {"logistic_regression": LogisticRegression(maxIter=200, regParam=1.0 / max(n_train, 1), standardization=False),
          "ridge_classifier": "ridge_ovr",
          "decision_tree": DecisionTreeClassifier(maxDepth=TREE_DEPTH, minInstancesPerNode=TREE_LEAF, seed=42)}
     if high_dim and n_significant >= 8:

@@ -32,8 +32,8 @@ def missing_overall(basics: DataFrame) -> DataFrame:
         F.count_if((F.col("missing") == F.col("n_rows")) & (F.col("n_rows") > 0)).alias("columns_all_missing"))
 
 
-def co_missing_pairs(df: DataFrame, cols: Sequence[str], limit: int | None = 10) -> DataFrame:
-    """Pairs of columns missing in the same row, most frequent first.
+def co_missing_pairs(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Pairs of columns missing in the same row, most frequent first; the first ``limit`` where it is given.
 
     ``cols`` are the columns with any missing value (from the profile), so the
     pair count is bounded by what is actually missing; one aggregation per batch.

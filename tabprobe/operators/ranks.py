@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from tabprobe.functions.joins import bounded_broadcast
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
 
 
 def value_counts(long_df: DataFrame, group_cols: Sequence[str] = ("column",)) -> DataFrame:
@@ -41,15 +40,23 @@ def distinct_sizes(vc: DataFrame, group_cols: Sequence[str]) -> tuple[int, int]:
     return int(row["m"] or 0), int(row["g"] or 0)
 
 
+def bucket_count(d_max: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets a group of ``d_max`` distinct values is cut into."""
+    return max(1, math.ceil(d_max / max(rows_per_bucket, 1)))
+
+
 def assign_buckets(vc: DataFrame, group_cols: Sequence[str], d_max: int,
-                   rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
-                   accuracy: int = 10_000) -> DataFrame:
-    """Add ``bucket``: ordered ranges of distinct values, ≈ ``rows_per_bucket`` values each."""
-    buckets = min(max_buckets, max(1, math.ceil(d_max / max(rows_per_bucket, 1))))
+                   rows_per_bucket: int = ROWS_PER_BUCKET, accuracy: int = 10_000) -> DataFrame:
+    """Add ``bucket``: ordered ranges of distinct values, ≈ ``rows_per_bucket`` values each.
+
+    The sketch's accuracy follows the bucket count, so an edge is off by at most a tenth of a bucket.
+    """
+    buckets = bucket_count(d_max, rows_per_bucket)
     if buckets <= 1:
         return vc.withColumn("bucket", F.lit(0))
     probs = [k / buckets for k in range(1, buckets)]
-    sk = vc.groupBy(*group_cols).agg(F.percentile_approx("value", probs, accuracy).alias("edges"))
+    sk = vc.groupBy(*group_cols).agg(
+        F.percentile_approx("value", probs, max(accuracy, 10 * buckets)).alias("edges"))
     rows = []
     for r in sk.collect():  # one row per group, `buckets` numbers each
         key = tuple(r[g] for g in group_cols)
@@ -86,33 +93,33 @@ def _running(vcb: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 
 
 def ranks_from_counts(vc: DataFrame, group_cols: Sequence[str], sizes: tuple[int, int] | None = None,
-                      rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                      rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``(group..., value, t, start, avg_rank, n)`` from value counts."""
     group_cols = list(group_cols)
     d_max, n_groups = sizes if sizes is not None else distinct_sizes(vc, group_cols)
-    vcb = assign_buckets(vc, group_cols, d_max, rows_per_bucket, max_buckets)
+    vcb = assign_buckets(vc, group_cols, d_max, rows_per_bucket)
     offsets = bucket_offsets(vcb, group_cols).select(*group_cols, "bucket", "off", "n")
-    pos = _running(vcb, group_cols).join(bounded_broadcast(offsets, n_groups * max_buckets), [*group_cols, "bucket"])
+    bound = n_groups * bucket_count(d_max, rows_per_bucket)
+    pos = _running(vcb, group_cols).join(bounded_broadcast(offsets, bound), [*group_cols, "bucket"])
     pos = pos.withColumn("start", F.col("off") + F.col("cum") - F.col("t"))
     return pos.select(*group_cols, "value", "t", "start", (F.col("start") + (F.col("t") + 1) / 2.0).alias("avg_rank"), "n")
 
 
 def rank_table(long_df: DataFrame, group_cols: Sequence[str] = ("column",), sizes: tuple[int, int] | None = None,
-               rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``(group..., value, t, start, avg_rank, n)`` over the non-null values of each group."""
-    return ranks_from_counts(value_counts(long_df, group_cols), group_cols, sizes, rows_per_bucket, max_buckets)
+    return ranks_from_counts(value_counts(long_df, group_cols), group_cols, sizes, rows_per_bucket)
 
 
 def quantiles_from_counts(vc: DataFrame, probs: Sequence[float], group_cols: Sequence[str] = ("column",),
-                          sizes: tuple[int, int] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                          max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                          sizes: tuple[int, int] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Exact linear-interpolated quantiles ``(group..., p, q)`` from value counts.
 
     With several buckets, only the buckets that hold a target position are sorted.
     """
     group_cols = list(group_cols)
     d_max, n_groups = sizes if sizes is not None else distinct_sizes(vc, group_cols)
-    vcb = assign_buckets(vc, group_cols, d_max, rows_per_bucket, max_buckets)
+    vcb = assign_buckets(vc, group_cols, d_max, rows_per_bucket)
     offsets = bucket_offsets(vcb, group_cols)
     bound = 2 * max(n_groups, 1) * len(probs)  # each (group, p) touches at most two buckets
     parr = F.array(*[F.lit(float(p)) for p in probs])
@@ -141,11 +148,9 @@ def quantiles_from_counts(vc: DataFrame, probs: Sequence[float], group_cols: Seq
 
 
 def quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequence[str] = ("column",),
-              sizes: tuple[int, int] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-              max_buckets: int = MAX_BUCKETS) -> DataFrame:
+              sizes: tuple[int, int] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Exact quantiles ``(group..., p, q)`` of ``value`` per group (see module doc)."""
-    return quantiles_from_counts(value_counts(long_df, group_cols), probs, group_cols, sizes,
-                                 rows_per_bucket, max_buckets)
+    return quantiles_from_counts(value_counts(long_df, group_cols), probs, group_cols, sizes, rows_per_bucket)
 
 
 def pivot_quantiles(qs: DataFrame, probs: dict[str, float], group_cols: Sequence[str] = ("column",)) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import as_double, as_label, c, r4
 from tabprobe.functions.joins import bounded_broadcast
+from tabprobe.functions.moments import chi2_sf_2dof, with_dagostino
 from tabprobe.functions.pvalues import p_chi2, p_f, p_norm2, p_t
 from tabprobe.operators import ranks
 from tabprobe.operators.longform import label_long, numeric_long
@@ -26,6 +27,7 @@ from tabprobe.operators.longform import label_long, numeric_long
 ALPHA = 0.05
 MIN_GROUP = 3
 MIN_PAIRS = 10
+NORMALITY_MIN_N = 8
 SPEARMAN_FLAG = 0.85
 MI_BINS = 20
 NULL_LEVEL = "__null__"
@@ -91,13 +93,23 @@ def anova_oneway(df: DataFrame, features: Sequence[str], target: str) -> DataFra
 def levene(df: DataFrame, features: Sequence[str], target: str,
            rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """Median-centred Levene F (one-way ANOVA on |x − group median|) and p per feature."""
-    lg = class_long(df, features, target)
-    kept = _groups(lg).select("column", "class")
-    lgk = lg.join(kept, ["column", "class"], "left_semi")
-    med = ranks.quantiles(lgk, [0.5], group_cols=["column", "class"], rows_per_bucket=rows_per_bucket)
-    dev = (lgk.join(med.select("column", "class", F.col("q").alias("med")), ["column", "class"])
-           .select("column", "class", F.abs(F.col("value") - F.col("med")).alias("value")))
-    a = _anova_from_groups(_groups(dev, 1))
+    return levene_from(_kept(df, features, target)[0], rows_per_bucket)
+
+
+def levene_from(lgk: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """Levene from long rows ``(column, class, value)`` already restricted to kept groups.
+
+    Deviations are taken from value counts, so a value that many rows share is one row of the join with the medians.
+    """
+    keys = ["column", "class"]
+    vc = ranks.value_counts(lgk, keys)
+    med = ranks.quantiles_from_counts(vc, [0.5], keys, rows_per_bucket=rows_per_bucket)
+    dev = vc.join(med.select(*keys, F.col("q").alias("med")), keys).withColumn("value", F.abs(F.col("value") - F.col("med")))
+    t, v = F.col("t"), F.col("value")
+    mean = dev.groupBy(*keys).agg(F.sum("t").alias("n"), (F.sum(t * v) / F.sum("t")).alias("mean"))
+    g = dev.select(*keys, "value", "t").join(mean, keys).groupBy(*keys, "n", "mean").agg(
+        F.try_divide(F.sum(t * (v - F.col("mean")) * (v - F.col("mean"))), F.col("n") - 1).alias("var"))
+    a = _anova_from_groups(g)
     return a.select("column", "f", "df1", "df2", p_f(F.col("f"), F.col("df1"), F.col("df2")).alias("p_value"))
 
 
@@ -360,19 +372,12 @@ def category_vs_numeric(df: DataFrame, features: Sequence[str], target: str) ->
     lg = label_long(d, features, keep=["__y"]).where(F.col("value").isNotNull() & F.col("__y").isNotNull())
     lg = lg.select("column", F.col("value").alias("class"), F.col("__y").alias("value"))
     g = _groups(lg)
+    return _levels_vs_numeric(lg.join(g.select("column", "class"), ["column", "class"], "left_semi"), g)
+
+
+def _levels_vs_numeric(lgk: DataFrame, g: DataFrame) -> tuple[DataFrame, DataFrame]:
     a = _anova_from_groups(g)
-    a = a.withColumn("p_value", p_f(F.col("f"), F.col("df1"), F.col("df2")))
-    lgk = lg.join(g.select("column", "class"), ["column", "class"], "left_semi")
-    multi = g.where(F.col("n_groups") >= 2).select("column").distinct()
-    rs, ties = rank_sums(lgk.join(multi, "column", "left_semi"))
-    agg = rs.groupBy("column").agg(F.sum(F.col("R") * F.col("R") / F.col("n")).alias("s"),
-                                   F.count("*").alias("k")).join(ties, "column")
-    N = F.col("nt").cast("double")
-    h = F.try_divide(12.0 / (N * (N + 1)) * F.col("s") - 3 * (N + 1), 1 - F.col("tie") / (N * N * N - N))
-    kw = agg.select("column", "nt", "k", h.alias("h"), (F.col("k") - 1).alias("dof"))
-    kw = kw.withColumn("epsilon_squared", F.when(N > F.col("k"), (F.col("h") - F.col("k") + 1) / (N - F.col("k")))
-                       .otherwise(F.lit(0.0))).withColumn("p_value", p_chi2(F.col("h"), F.col("dof")))
-    return a, kw
+    return a.withColumn("p_value", p_f(F.col("f"), F.col("df1"), F.col("df2"))), kruskal_from(lgk, g)
 
 
 # ── FDR, mutual information, ranking ──────────────────────────────────────────
@@ -396,7 +401,9 @@ def _binned(lg: DataFrame, bins: int, rows_per_bucket: int) -> DataFrame:
     nn = lg.where(F.col("value").isNotNull())
     rt = ranks.rank_table(nn.select("column", "value"), ["column"], rows_per_bucket=rows_per_bucket)
     b = rt.select("column", "value", F.floor(F.col("start") * bins / F.col("n")).cast("string").alias("xb"))
-    return lg.join(b, ["column", "value"], "left").withColumn("xb", F.coalesce("xb", F.lit("-1")))
+    # NULLs have no partner: they go past the join, not to one key of it
+    none = lg.where(F.col("value").isNull()).withColumn("xb", F.lit("-1"))
+    return nn.join(b, ["column", "value"]).unionByName(none)
 
 
 def mutual_information(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
@@ -476,33 +483,26 @@ def significance_buckets(ranked: DataFrame) -> DataFrame:
 
 # ── E2 + E25: normality gate and the per-feature router ───────────────────────
 
-def _levene_long(lg: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
-    kept = _groups(lg).select("column", "class")
-    lgk = lg.join(kept, ["column", "class"], "left_semi")
-    med = ranks.quantiles(lgk, [0.5], group_cols=["column", "class"], rows_per_bucket=rows_per_bucket)
-    dev = (lgk.join(med.select("column", "class", F.col("q").alias("med")), ["column", "class"])
-           .select("column", "class", F.abs(F.col("value") - F.col("med")).alias("value")))
-    a = _anova_from_groups(_groups(dev, 1))
-    return a.select("column", p_f(F.col("f"), F.col("df1"), F.col("df2")).alias("levene_p"))
-
-
-def _levene_kept(lgk: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
-    """Levene p per feature from rows already restricted to kept groups."""
-    med = ranks.quantiles(lgk, [0.5], group_cols=["column", "class"], rows_per_bucket=rows_per_bucket)
-    dev = (lgk.join(med.select("column", "class", F.col("q").alias("med")), ["column", "class"])
-           .select("column", "class", F.abs(F.col("value") - F.col("med")).alias("value")))
-    a = _anova_from_groups(_groups(dev, 1))
-    return a.select("column", p_f(F.col("f"), F.col("df1"), F.col("df2")).alias("levene_p"))
-
-
-def normality_gate(lg: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Per group, Shapiro-Wilk p > α on a ≤ 500-row sample; False when n < 8. Then all groups must pass."""
-    from tabprobe.operators.profile import shapiro_by_group
-    from tabprobe.operators.profile import _freeze
+def _levene_p(lgk: DataFrame) -> DataFrame:
+    return levene_from(lgk).select("column", F.col("p_value").alias("levene_p"))
+
+
+def normality_gate(lg: DataFrame, group_cols: Sequence[str], shapiro_sample: int | None = None) -> DataFrame:
+    """A group passes with n ≥ 8 and a normality p > α; all groups of a column must pass.
+
+    The test is D'Agostino-Pearson K² on the moments of all rows (one aggregation). With ``shapiro_sample`` it is
+    Shapiro-Wilk on that many rows a group, the reference's rule (500).
+    """
     g = list(group_cols)
-    n = _freeze(lg.groupBy(*g).agg(F.count("*").alias("n")))
-    sw = shapiro_by_group(lg, g, sizes=n, n_groups=n.count())
-    ok = n.join(sw, g, "left").withColumn("ok", (F.col("n") >= 8) & F.coalesce(F.col("sw_p") > ALPHA, F.lit(False)))
+    if shapiro_sample is None:
+        m = lg.groupBy(*g).agg(F.count("value").alias("n"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"))
+        tested = with_dagostino(m).withColumn("p", chi2_sf_2dof(F.col("k2")))
+    else:
+        from tabprobe.operators.profile import shapiro_by_group
+        n = lg.groupBy(*g).agg(F.count("value").alias("n"))
+        tested = n.join(shapiro_by_group(lg, g, shapiro_sample).withColumnRenamed("sw_p", "p"), g, "left")
+    ok = tested.withColumn("ok", (F.col("n") >= NORMALITY_MIN_N) & F.coalesce(
+        ~F.isnan("p") & (F.col("p") > ALPHA), F.lit(False)))
     return ok.groupBy("column").agg(F.bool_and("ok").alias("normal"))
 
 
@@ -577,7 +577,7 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
             n_kept = g.count()
             ng = g.groupBy("column").agg(F.max("n_groups").alias("n_groups"))
             lgk = lg.join(bounded_broadcast(g.select("column", "class"), n_kept), ["column", "class"], "left_semi")
-            gate = normality_gate(lgk, ["column", "class"]).join(_levene_kept(lgk), "column", "left")
+            gate = normality_gate(lgk, ["column", "class"]).join(_levene_p(lgk), "column", "left")
             gate = _freeze(gate.select("column", "normal", F.coalesce(F.col("levene_p") > ALPHA, F.lit(False)).alias("eqv")))
             chosen = {r["column"]: (r["n_groups"], bool(r["normal"]), bool(r["eqv"]))
                       for r in ng.join(gate, "column", "left").collect()}
@@ -613,7 +613,8 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
                 effect_metric=metric, n_groups=k, normality_assumption=normal, equal_variance_assumption=eqv,
                 skipped=F.when(k < 2, "insufficient_groups")))
         if cat:
-            ch = chi_square(df, cat, target)
+            from tabprobe.operators.profile import _freeze
+            ch = _freeze(chi_square(df, cat, target))  # a row a feature
             parts.append(_rows(ch, feature=F.col("column"), test=F.lit("chi_square"), statistic=F.col("statistic"),
                                p_value=F.col("p_value"), effect_size=F.col("cramers_v"), effect_metric=F.lit("cramers_v"),
                                expected_freq_assumption_ok=F.col("expected_freq_assumption_ok"),
@@ -649,19 +650,24 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
                                effect_size=F.abs(stat), effect_metric=F.when(both, "pearson_r").otherwise("spearman_r"),
                                normality_assumption=both))
             allr = spark.createDataFrame([(x,) for x in rest], "feature string")
-            parts.append(_rows(allr.join(pe.select(F.col("column").alias("feature")), "feature", "left_anti"),
+            parts.append(_rows(allr.join(j.select(F.col("column").alias("feature")), "feature", "left_anti"),
                                feature=F.col("feature"), skipped=F.lit("insufficient_data")))
         if cat:
             d = df.withColumn("__y", as_double(df, target))
             lg = label_long(d, cat, keep=["__y"]).where(F.col("value").isNotNull() & F.col("__y").isNotNull())
-            lg = lg.select("column", F.col("value").alias("class"), F.col("__y").alias("value"))
+            from pyspark import StorageLevel
+            from tabprobe.operators.profile import _freeze
+            lg = lg.select("column", F.col("value").alias("class"), F.col("__y").alias("value")).persist(
+                StorageLevel.MEMORY_AND_DISK)
             g = _groups(lg)
             lgk = lg.join(g.select("column", "class"), ["column", "class"], "left_semi")
-            gate = normality_gate(lgk, ["column", "class"]).join(_levene_long(lg), "column", "left")
-            a, kw = category_vs_numeric(df, cat, target)
+            gate = normality_gate(lgk, ["column", "class"]).join(_levene_p(lgk), "column", "left")
+            a, kw = _levels_vs_numeric(lgk, g)
             ng = g.groupBy("column").agg(F.max("n_groups").alias("n_groups"))
             j = (ng.join(gate, "column", "left").join(a.select("column", "f", F.col("p_value").alias("pa"), "eta_squared"), "column", "left")
                  .join(kw.select("column", "h", F.col("p_value").alias("pk"), "epsilon_squared"), "column", "left"))
+            j = _freeze(j)  # a row a feature
+            lg.unpersist()
             use_a = F.coalesce("normal", F.lit(False)) & F.coalesce(F.col("levene_p") > ALPHA, F.lit(False))
             parts.append(_rows(j, feature=F.col("column"), test=F.when(F.col("n_groups") < 2, None).when(use_a, "anova").otherwise("kruskal_wallis"),
                                statistic=F.when(use_a, F.col("f")).otherwise(F.col("h")),

@@ -141,7 +141,7 @@ def g13_needs_tuning(spark, sf):
 
 @register("g15_residual_table", fixture_cte("fx_predictions") + f"""
 SELECT o_orderkey, round(y, 4) AS actual, round(y_hat, 4) AS predicted, round(y - y_hat, 4) AS residual
-FROM fx_predictions ORDER BY {sql_hash('o_orderkey')}, o_orderkey LIMIT 3000""")
+FROM fx_predictions""")
 def g15_residual_table(spark, sf):
     r = M.residual_table(fixture(spark, sf, "fx_predictions"), "o_orderkey", "y", "y_hat")
     return r.select("o_orderkey", *[r4(F.col(x)).alias(x) for x in ("actual", "predicted", "residual")])

@@ -301,7 +301,7 @@ def c2_co_missing_pairs(spark, sf):
     df = fixture(spark, sf, "fx_nulls")
     b = P.column_basics(df)
     with_missing = [r["column"] for r in b.where(F.col("missing") > 0).orderBy("pos").select("column").collect()]
-    return Q.co_missing_pairs(df, with_missing, limit=10)
+    return Q.co_missing_pairs(df, with_missing)
 
 
 @register("c3_duplicate_rows", fixture_cte("fx_dups") + """
