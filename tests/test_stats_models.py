@@ -147,3 +147,29 @@ def test_metrics_on_known_predictions(spark):
     reg = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 2.5)], "label double, prediction double")
     r = M.regression_metrics(reg).first()
     assert r["mae"] == pytest.approx(1 / 3) and r["r2"] == pytest.approx(1 - (0.5 / 3) / (2 / 3))
+
+
+def test_levene_matches_brute_force(groups):
+    pdf, sdf = groups
+    dev = (pdf.x - pdf.groupby("g").x.transform("median")).abs()
+    k = dev.groupby(pdf.g)
+    f = (k.count() * (k.mean() - dev.mean()) ** 2).sum() / 2 / (((k.count() - 1) * k.var()).sum() / (len(pdf) - 3))
+    assert S.levene(sdf, ["x"], "g").first()["f"] == pytest.approx(f, rel=1e-9)
+
+
+def test_normality_gate_reads_all_rows(spark):
+    rng = np.random.default_rng(11)
+    parts = {"normal": rng.normal(0, 1, 3000), "skewed": rng.exponential(1, 3000), "few": rng.normal(0, 1, 7),
+             "constant": np.ones(50)}
+    df = spark.createDataFrame([(k, "a", float(v)) for k, vs in parts.items() for v in vs], "column string, class string, value double")
+    got = {r["column"]: r["normal"] for r in S.normality_gate(df, ["column", "class"]).collect()}
+    assert got == {"normal": True, "skewed": False, "few": False, "constant": False}
+
+
+def test_ada_boost_releases_its_rows(spark):
+    from tabprobe.operators.boosting import ada_boost_fit
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.range(0, 200).select((F.col("id") % 20).cast("double").alias("x")).withColumn("label", (F.col("x") > 12).cast("double"))
+    a = M.assemble(df, ["x"])
+    assert ada_boost_fit(a, 2, n_estimators=6).transform(a).where("prediction <> label").count() == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
