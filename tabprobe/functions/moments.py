@@ -32,7 +32,7 @@ def sample_kurt(g2: Column, n: Column) -> Column:
 
 def with_dagostino(df: DataFrame, g1: str = "g1", g2: str = "g2", n: str = "n", out: str = "k2") -> DataFrame:
     """Add ``out`` = Zs² + Zk² (D'Agostino 1970 skew score, Anscombe & Glynn 1983 kurtosis score)."""
-    N = F.when(F.col(n) >= 4, F.col(n).cast("double"))  # below 4 values it is not defined
+    N = F.when(F.col(n) >= 8, F.col(n).cast("double"))  # NULL below 8 values: the skew score needs them (w² is 1 at 7)
     s = df.withColumns({
         "__y": F.col(g1) * F.sqrt((N + 1) * (N + 3) / (6.0 * (N - 2))),
         "__beta2": 3.0 * (N * N + 27 * N - 70) * (N + 1) * (N + 3) / ((N - 2) * (N + 5) * (N + 7) * (N + 9)),
