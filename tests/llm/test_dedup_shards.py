@@ -303,3 +303,15 @@ def test_trie_shares_prefixes():
     trie.insert("abba")
     assert len(trie.score) == nodes + 2 and trie.terminal["abab"] == (2, -3.0)
     assert len(texts()) > 40
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcé▁𝄞", min_size=1, max_size=14), max_size=25, unique=True),
+       st.dictionaries(st.text(alphabet="abcé▁", min_size=1, max_size=5), st.floats(-9, -1), max_size=15))
+def test_depth_by_depth_is_word_by_word(words, pieces):
+    """The trie grown by depth, in parts or not, gives what single insertions give."""
+    one, words = trie_counts.ForwardTrie(pieces), sorted(words)
+    want = {w: one.insert(w) for w in words}
+    tails = trie_counts.Tails(pieces)
+    for most, deep in ((1_000, 64), (7, 64), (20, 6)):
+        assert trie_counts.segmented(words, trie_counts.ForwardTrie(pieces), tails, most, deep) == want
