@@ -191,6 +191,39 @@ def test_mix_is_whole_and_in_share(spark):
         assert all(abs(had[k] - n * (t + 1) / 60) < 1 for k, n in q.items())
 
 
+def test_mix_keeps_asked_weights(spark):
+    """Uneven weights, one far below a slot a round: less than a block from the asked share over many rounds."""
+    asked = {"big": 333.4, "tiny": 0.05, **{f"s{i:02d}": 35.1 * (0.3 + i / 10) for i in range(18)}}
+    weights = spark.createDataFrame(list(asked.items()), "source string, weight double")
+    whole = sum(asked.values())
+    plan = pfair.schedule(pfair.quantised(weights, 2**40), 100, 100).orderBy("slot").collect()
+    assert [r.slot for r in plan] == list(range(10_000))
+    had = Counter()
+    for t, r in enumerate(plan):
+        assert r.block == had[r.source]
+        had[r.source] += 1
+        assert all(abs(had[s] - w / whole * (t + 1)) < 1 for s, w in asked.items())
+    # through the mix, while no source has run out
+    data = [(i, None, None, s) for s, n in (("a", 1500), ("b", 900), ("c", 8)) for i in range(n)]
+    asked = {"a": 0.61803, "b": 0.37987, "c": 0.0021}
+    weights = spark.createDataFrame(list(asked.items()), "source string, weight double")
+    got = pfair.pfair_mix(documents(spark, data).select("doc_id", "source"), weights, block_rows=1, period=100).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(data))) and all(r.release <= r.slot < r.deadline for r in got)
+    had = Counter()
+    for t, r in enumerate(got[:2300]):
+        had[r.source] += 1
+        assert r.slot == t and all(abs(had[s] - w * (t + 1)) < 1 for s, w in asked.items())
+
+
+def test_mix_far_behind(spark):
+    """A source of almost no weight and many rows: blocks behind the worked-out slots keep windows, order and places."""
+    data = [(i, None, None, s) for s in "abc" for i in range(50)]
+    w = spark.createDataFrame([("a", 1.0), ("b", 1e-7), ("c", 1e-9)], "source string, weight double")
+    got = pfair.pfair_mix(documents(spark, data).select("doc_id", "source"), w, block_rows=3, period=10).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(150)) and all(r.release <= r.slot < r.deadline for r in got)
+    assert [r.slot for r in got] == sorted(r.slot for r in got)
+
+
 def test_mix_given_weights(spark):
     w = spark.createDataFrame([("src0", 3.0), ("src1", 1.0), ("nowhere", 9.0)], "source string, weight double")
     got = pfair.pfair_mix(documents(spark), w, block_rows=1, period=40)
