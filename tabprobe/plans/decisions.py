@@ -20,6 +20,8 @@ AUTO_WINSOR_OUTLIER_PCT = 5
 SKEW_LIMIT = 1
 UNINFORMATIVE_TYPES = ("constant", "id")
 STRONG_EFFECTS = ("medium", "large")
+#: signals that a drop for want of signal needs; where the table of signals has no such column, none is measured
+NEEDED_SIGNALS = ("abs_r", "effect_size", "mi_score")
 DECIDED_ACTIONS = ("transform", "encode", "keep")
 
 PROFILE_FACTS = {"semantic_type": "string", "missing_pct": "double", "iqr_outlier_pct": "double", "skewness": "double",
@@ -41,13 +43,17 @@ def _with_defaults(facts: DataFrame) -> DataFrame:
     zero = {x: F.coalesce(F.col(x), F.lit(0).cast(t)) for x, t in
             {"missing_pct": "double", "iqr_outlier_pct": "double", "skewness": "double", "negatives_count": "long",
              "cardinality_ratio": "double", "effect_size": "double", "mi_score": "double", "abs_r": "double"}.items()}
-    false = {x: F.coalesce(F.col(x), F.lit(False)) for x in ("significant", "strong", "target_encoding", "is_source")}
+    false = {x: F.coalesce(F.col(x), F.lit(False)) for x in ("significant", "strong", "target_encoding", "is_source",
+                                                             *(f"has_{x}" for x in NEEDED_SIGNALS))}
     return facts.withColumns({**zero, **false})
 
 
 def column_facts(spark: SparkSession, columns: Iterable[str], profile: DataFrame | None, signals: DataFrame | None,
                  plan: dict, sources: Iterable[str] = ()) -> DataFrame:
-    """One row per column: profile ⋈ signals ⋈ plan, computed once and kept as a local table (a row per column)."""
+    """One row per column: profile ⋈ signals ⋈ plan, computed once and kept as a local table (a row per column).
+
+    A signal without a value for a column counts as 0; one that ``signals`` has no column for is unknown (``has_...``).
+    """
     sources = set(sources)
     planned = [(i, x, plan.get(x, {}).get("action"), plan.get(x, {}).get("method"), x in sources) for i, x in enumerate(columns)]
     base = spark.createDataFrame(planned, "pos int, column string, plan_action string, plan_method string, is_source boolean")
@@ -56,7 +62,8 @@ def column_facts(spark: SparkSession, columns: Iterable[str], profile: DataFrame
     facts = (facts.withColumn("significant", F.col("significant_after_fdr"))
              .withColumn("strong", F.coalesce(F.col("significant"), F.lit(False))
                          | F.coalesce(F.col("effect_label").isin(*STRONG_EFFECTS), F.lit(False)))
-             .drop("significant_after_fdr", "effect_label"))
+             .drop("significant_after_fdr", "effect_label")
+             .withColumns({f"has_{x}": F.lit(signals is not None and x in signals.columns) for x in NEEDED_SIGNALS}))
     facts = _with_defaults(facts)
     return spark.createDataFrame(facts.collect(), facts.schema)
 
@@ -74,7 +81,8 @@ def drop_decisions(facts: DataFrame) -> DataFrame:
         (F.col("is_source"), None),
         (F.col("semantic_type").isin(*UNINFORMATIVE_TYPES) & ~F.col("strong"), "constant_or_id"),
         (F.col("missing_pct") >= DROP_MISSING_PCT, "mostly_missing"),
-        ((F.col("missing_pct") > HIGH_MISSING_PCT) & ~F.col("strong") & (F.col("abs_r") < SIGNAL_ABS_R), "high_missing_no_signal")]
+        ((F.col("missing_pct") > HIGH_MISSING_PCT) & ~F.col("strong") & F.col("has_abs_r")
+         & (F.col("abs_r") < SIGNAL_ABS_R), "high_missing_no_signal")]
     return (facts.select("pos", "column", _first_rule(rules).alias("reason"), F.col("is_source").alias("deferred"))
             .where(F.col("reason").isNotNull()).orderBy("pos").drop("pos"))
 
@@ -118,11 +126,12 @@ def transform_decisions(facts: DataFrame, ranges: DataFrame) -> DataFrame:
 def low_signal_decisions(facts: DataFrame, kept: Iterable[str] = (), tested: DataFrame | None = None) -> DataFrame:
     """columns below every signal threshold, if any of the ``tested`` (default: these) columns is significant.
 
-    ``kept`` are never named.
+    ``kept`` are never named, nor any column where one of the signals was not measured.
     """
     if not (facts if tested is None else tested).where("significant").take(1):
         return facts.select("column").limit(0)
-    weak = ((F.col("abs_r") < LOW_SIGNAL["abs_r"]) & (F.col("effect_size") < LOW_SIGNAL["effect"])
+    measured = F.col("has_abs_r") & F.col("has_effect_size") & F.col("has_mi_score")
+    weak = (measured & (F.col("abs_r") < LOW_SIGNAL["abs_r"]) & (F.col("effect_size") < LOW_SIGNAL["effect"])
             & (F.col("mi_score") < LOW_SIGNAL["mi"]))
     decided = F.coalesce(F.col("plan_action").isin(*DECIDED_ACTIONS), F.lit(False))
     free = facts.where(weak & ~decided & ~F.col("strong") & ~F.col("is_source"))

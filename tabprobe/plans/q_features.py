@@ -13,6 +13,7 @@ from tabprobe.operators import stats as S
 from tabprobe.plans import rules
 from tabprobe.plans.q_profile import FE_SQL, SHAPES_PROF
 from tabprobe.plans.registry import register
+from tabprobe.plans.signals import measured_signals
 from tabprobe.sources.tables import fixture, fixture_cte, table
 
 
@@ -191,8 +192,8 @@ def _status_model(spark, sf):
     df = fixture(spark, sf, "fx_status")
     train = df.where(~is_test(F.col("o_orderkey")))
     prof = P.profile_columns(train, target="o_orderstatus", with_shapiro=False)
-    tests = S.test_features(train, "o_orderstatus", "classification")
-    model = X.fit(train, "o_orderstatus", ["o_orderkey"], profile=prof, signals=tests)
+    signals, pairs = measured_signals(train, "o_orderstatus", ["o_orderkey"], "classification")
+    model = X.fit(train, "o_orderstatus", ["o_orderkey"], profile=prof, signals=signals, collinear_pairs=pairs)
     return df, train, model
 
 
@@ -224,7 +225,8 @@ def f3_drop_columns(spark, sf):
     """Drop decisions (plan, constant / id, mostly missing, high missing without signal) on fx_nulls."""
     df = fixture(spark, sf, "fx_nulls")
     prof = P.profile_columns(df, target="o_orderstatus", with_shapiro=False)
-    model = X.fit(df, "o_orderstatus", ["o_orderkey"], profile=prof, plan={"o_custkey": {"action": "drop"}})
+    signals, _ = measured_signals(df, "o_orderstatus", ["o_orderkey"], "classification")
+    model = X.fit(df, "o_orderstatus", ["o_orderkey"], profile=prof, signals=signals, plan={"o_custkey": {"action": "drop"}})
     return spark.createDataFrame([(x, a, r) for x, a, _, r in model.steps if a == "drop"],
                                  "column string, action string, reason string")
 
@@ -245,10 +247,7 @@ def f16_resolve_collinearity(spark, sf):
 def f15_drop_low_signal(spark, sf):
     """Low-signal features of fx_signal dropped once something is FDR-significant."""
     df = fixture(spark, sf, "fx_signal")
-    tests = S.test_features(df, "big", "classification")
-    mi = S.mutual_information(df, ["event_id", "user_id", "value", "mixed"], ["event_type"], "big")
-    ranked = S.rank_features(tests, mi).select("feature", "significant_after_fdr", "effect_label", "effect_size",
-                                               "mi_score")
-    model = X.fit(df, "big", ["event_id"], signals=ranked)
+    signals, _ = measured_signals(df, "big", ["event_id"], "classification")
+    model = X.fit(df, "big", ["event_id"], signals=signals)
     return spark.createDataFrame([(x, r) for x, a, _, r in model.steps if a == "drop"] or [("", "none")],
                                  "column string, reason string")

@@ -12,6 +12,7 @@ from tabprobe.operators import profile as P
 from tabprobe.operators import stats as S
 from tabprobe.operators import tuning as H
 from tabprobe.plans.registry import register
+from tabprobe.plans.signals import measured_signals
 from tabprobe.session import ensure_checkpoint_dir
 from tabprobe.sources.tables import fixture, fixture_cte, table
 
@@ -32,7 +33,8 @@ def prepared(spark, sf, name: str, target: str, key: str, problem: str):
     train = df.where(~F.col("is_test")).drop("is_test")
     prof = P.profile_columns(train, target=target, with_shapiro=False)
     tests = S.test_features(train, target, problem)
-    model = X.fit(train, target, [key], profile=prof, signals=tests)
+    signals, pairs = measured_signals(train, target, [key], problem, tests)
+    model = X.fit(train, target, [key], profile=prof, signals=signals, collinear_pairs=pairs)
     tr = model.transform(train, training=True).withColumn("is_test", F.lit(False))
     te = model.transform(df.where(F.col("is_test")).drop("is_test")).withColumn("is_test", F.lit(True))
     out = tr.unionByName(te).checkpoint()

@@ -1,6 +1,10 @@
 """Preparation decisions as tables, against hand-worked rows."""
 
+import math
+
+from tabprobe.operators import features as X
 from tabprobe.plans import decisions as D
+from tabprobe.plans.signals import measured_signals
 
 PROFILE = ("column string, semantic_type string, missing_pct double, iqr_outlier_pct double, skewness double, negatives_count long,"
            " cardinality_ratio double")
@@ -53,3 +57,32 @@ def test_collinear_pairs(spark):
     # a has the smaller effect; c and d are significant and stay; e and f tie, so the second goes
     assert [r[0] for r in D.collinear_decisions(f, pairs).collect()] == ["a", "f"]
     assert D.collinear_decisions(f, pairs.limit(0)).count() == 0
+
+
+def test_signals_not_measured_drop_nothing(spark):
+    """A table of tests alone says nothing of mutual information or of r: no column goes for want of them."""
+    tests = spark.createDataFrame([("a", True, "large", 0.9), ("b", False, "negligible", 0.01)],
+                                  "feature string, significant_after_fdr boolean, effect_label string, effect_size double")
+    prof = spark.createDataFrame([("b", "numeric", 41.0, None, None, None, None)], PROFILE)
+    for signals in (tests, None):
+        f = D.column_facts(spark, "ab", prof, signals, {})
+        assert D.drop_decisions(f).count() == 0 and D.low_signal_decisions(f).count() == 0
+
+
+def test_all_signals_reach_the_rules(spark):
+    """A feature known by its mutual information only stays, its near copy goes as collinear."""
+    def row(i):
+        v, ring, noise = i * 7919 % 2000 / 100, i * 104729 % 2001 / 1000 - 1, i * 15485863 % 1999 / 100
+        y = v + 12 * math.cos(2 * math.pi * ring)
+        level = f"l{i * 7919 % 2000 // 100}"
+        return i, v, ring, 2 * ring + i % 2 / 1000, noise, level, y
+
+    train = spark.createDataFrame([row(i) for i in range(2000)],
+                                  "id long, v double, ring double, twin double, noise double, level string, y double")
+    signals, pairs = measured_signals(train, "y", ["id"], "regression")
+    got = {r["feature"]: r for r in signals.collect()}
+    assert got["ring"]["mi_score"] > 0.2 and got["ring"]["abs_r"] < 0.05 and not got["ring"]["significant_after_fdr"]
+    assert got["level"]["target_encoding"] and pairs == [("ring", "twin")]
+    model = X.fit(train, "y", ["id"], signals=signals, collinear_pairs=pairs)
+    assert [(x, r) for x, a, _, r in model.steps if a == "drop"] in ([("twin", "collinear")], [("ring", "collinear")])
+    assert len({"ring", "twin"} & set(model.columns)) == 1
