@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabprobe.llm.bayes_dedup import near_dedup
 from tabprobe.llm.chunk_dedup import exact_dedup
 from tabprobe.llm.context_tree import ctw_scores
+from tabprobe.llm.covering_lsh import covering_dedup
 from tabprobe.llm.partition_lp import shard_documents
 from tabprobe.llm.pfair import pfair_mix
 from tabprobe.llm.positional_index import decontaminate
@@ -73,9 +74,14 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix(docs).select("doc_id", "source", "block", "release", "deadline", "slot", "position")
 
 
+def op12_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and their components at 4 or fewer differing bits, by covering tables."""
+    return covering_dedup(_table(spark, sf_dir, "documents"), radius=4, width=4).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_positional_index, op2_warc, op3_string_kernel, op4_sharding, op5_context_tree, op6_token_shards, op7_chunk_dedup, op8_bayes_dedup,
-                               op9_trie_counts, op10_pfair_mix)}
+                               op9_trie_counts, op10_pfair_mix, op12_covering_lsh)}
 
 ORACLES: dict[str, str] = {
     "op1_positional_index": r"""
