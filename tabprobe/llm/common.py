@@ -121,10 +121,21 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
+#: Powers of a base kept between batches, at most so many.
+_KEPT = 1 << 23
+_KNOWN: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
+    known = _KNOWN.get(int(base))
+    if known is not None and n <= len(known):
+        return known[:n]
     out = np.full(n, base, np.uint64)
     out[:1] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= _KEPT:
+        _KNOWN[int(base)] = out
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ Layout: magic, header length (uint32), header (JSON: sections with offset, store
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import uuid
@@ -182,11 +183,16 @@ class ShardReader:
 
 # ---- tokenizer --------------------------------------------------------------------------------------------------
 
+#: Marks that the split pattern never joins to the letter or digit before them.
+_MARKS = np.isin(np.arange(256), list(b".,;:!?)"))
+
+
 class SplitTokenizer:
-    """Ids of a byte-level BPE file, each distinct space-separated unit encoded once.
+    """Ids of a byte-level BPE file, each distinct unit of text encoded once.
 
-    The file's split pattern always has a boundary before a single space between two characters that are not white
-    space, so a text's ids are those of its units. Units are told apart by two independent 64-bit hashes.
+    The file's split pattern always has a boundary before a single space or line break between two characters that are
+    not white space, after such a line break, and between a letter or digit and the mark that ends a word, so a text's
+    ids are those of its units. Units are told apart by two independent 64-bit hashes.
     """
 
     def __init__(self, path: str, max_known: int = 2_000_000):
@@ -198,26 +204,68 @@ class SplitTokenizer:
         self._forget()
 
     def _forget(self) -> None:
+        """``slot`` of each known unit (by ``keys``, sorted, and ``check``): its ids are ``flat[ends[slot]:ends[slot + 1]]``."""
         self.keys, self.check, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.ends = [np.zeros(0, np.uint32)], np.zeros(1, np.int64)
-
-    def _encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """Joined by newlines in runs of 64: a line break before a space is always an id of its own."""
-        out: list = [None] * len(units)
-        plain = [i for i, u in enumerate(units) if "\n" not in u and u.startswith(" ") and len(u) > 1 and not u[1].isspace()
-                 and not u[-1].isspace()]
-        runs = [plain[i:i + 64] for i in range(0, len(plain), 64)]
-        for run, e in zip(runs, self.tok.encode_batch_fast(["\n".join([*(units[i] for i in run), ""]) for run in runs],
-                                                           add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) == len(run):
-                for i, a, b in zip(run, [0, *(cuts[:-1] + 1).tolist()], cuts.tolist(), strict=True):
-                    out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tok.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode_units(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units one after the other, and the number of ids of each.
+
+        Units that begin with a space and have no line break are joined by line breaks in runs of 64, as a line break
+        before a space is always an id of its own; a run whose breaks don't show that is encoded unit by unit.
+        """
+        lens = stops - starts
+        breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
+        solid = (data > 0x20) & (data < 0x7F)
+        solid[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80)  # where white space can't be
+        second = data[np.minimum(starts + 1, len(data) - 1)]
+        plain = (breaks[stops] == breaks[starts]) & (lens > 1) & (data[starts] == 0x20) & solid[stops - 1]
+        plain &= (second > 0x20) & (second < 0x7F) | (second == 0xC3)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n_plain, size = int(plain.sum()), np.zeros(len(starts), np.int64)
+        ends = np.cumsum(lens[order] + 1)
+        text = np.full(int(ends[-1]) if len(ends) else 0, 0x0A, np.uint8)
+        inside = np.ones(len(text), bool)
+        inside[ends - 1] = False
+        text[inside] = data[np.repeat(starts[order] - ends + lens[order] + 1, lens[order]) + np.flatnonzero(inside)]
+        raw, begins = text.tobytes(), ends - lens[order] - 1
+
+        def one_by_one(first: int, last: int) -> list[list[int]]:
+            units = [raw[a:b].decode("utf-8", "replace") for a, b in zip(begins[first:last].tolist(), (ends[first:last] - 1).tolist(), strict=True)]
+            return [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+
+        ids: list[np.ndarray] = []
+        edges = [*range(0, n_plain, 64), n_plain] if n_plain else []
+        runs = [raw[begins[a]:ends[b - 1]].decode("utf-8", "replace") for a, b in zip(edges, edges[1:])]
+        for a, b, e in zip(edges, edges[1:], self.tok.encode_batch_fast(runs, add_special_tokens=False), strict=False):
+            x = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(x == self.newline[0])
+            if len(cuts) == b - a and len(self.newline) == 1:
+                size[order[a:b]] = np.diff(cuts, prepend=-1) - 1
+                ids.append(np.delete(x, cuts))
+            else:
+                each = one_by_one(a, b)
+                size[order[a:b]] = [len(u) for u in each]
+                ids += [np.array(u, np.uint32) for u in each]
+        if n_plain < len(order):
+            each = one_by_one(n_plain, len(order))
+            size[order[n_plain:]] = [len(u) for u in each]
+            ids += [np.array(u, np.uint32) for u in each]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        # back to the order in which the units were given
+        at = np.empty(len(order), np.int64)
+        at[order] = np.concatenate([[0], np.cumsum(size[order])[:-1]])
+        return flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(len(flat))], size
+
+    def _learn(self, keys: np.ndarray, check: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Encodes new units, whose ``keys`` are sorted, and returns their slots."""
+        ids, size = self._encode_units(data, starts, stops)
+        slot = len(self.ends) - 1 + np.arange(len(keys))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.check, self.slot = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.check, check), (self.slot, slot)))
+        return slot
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows' texts one after the other, and the n + 1 offsets of the rows."""
@@ -232,6 +280,13 @@ class SplitTokenizer:
         edges = off[(off > 0) & (off < len(data))]
         cut[edges] = False
         cut[edges - 1] = False
+        # between a letter or digit and a mark that can't go on with it; on both sides of a line break between words
+        word = (data >= 0x30) & (data <= 0x39) | ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+        word[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:] |= _MARKS[data[1:]] & word[:-1]
+        line = data == 0x0A
+        cut[1:] |= line[1:] & after[:-1]
+        cut[2:] |= solid[2:] & line[1:-1] & after[:-2]
         cut[off[:-1][np.diff(off) > 0]] = True
         starts = np.flatnonzero(cut)
         stops = np.concatenate([starts[1:], [len(data)]])
@@ -250,35 +305,31 @@ class SplitTokenizer:
             same &= ~clash[which]
         slot = np.zeros(len(keys), np.int64)
         slot[known] = self.slot[at_ok[known]]
-        raw = data.tobytes()
         new = np.flatnonzero(~known)
         if len(new):
-            ids = self._encode_units([raw[a:b].decode("utf-8", "replace") for a, b in zip(
-                starts[where[new]].tolist(), stops[where[new]].tolist(), strict=True)])
-            slot[new] = len(self.ends) - 1 + np.arange(len(new))
-            self.flat.append(np.concatenate(ids))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
-            order = np.argsort(np.concatenate([self.keys, keys[new]]), kind="stable")
-            self.keys = np.concatenate([self.keys, keys[new]])[order]
-            self.check = np.concatenate([self.check, second[where[new]]])[order]
-            self.slot = np.concatenate([self.slot, slot[new]])[order]
-            self.flat = [np.concatenate(self.flat)]
+            slot[new] = self._learn(keys[new], second[where[new]], data, starts[where[new]], stops[where[new]])
         unit = slot[which]
         extra: dict[int, np.ndarray] = {}
         lens = (self.ends[1:] - self.ends[:-1])[unit]
         for i in np.flatnonzero(~same).tolist():  # two units with one hash: encoded by themselves
-            extra[i] = np.array(self.tok.encode(raw[starts[i]:stops[i]].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            extra[i] = np.array(self.tok.encode(data[starts[i]:stops[i]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
             lens[i] = len(extra[i])
         ends = np.cumsum(lens)
         total = int(ends[-1])
         source = np.arange(total, dtype=np.int64) + np.repeat(self.ends[:-1][unit] - (ends - lens), lens)
-        ids = self.flat[0][np.minimum(source, len(self.flat[0]) - 1)] if len(self.flat[0]) else np.zeros(total, np.uint32)
+        ids = self.flat[np.minimum(source, len(self.flat) - 1)] if len(self.flat) else np.zeros(total, np.uint32)
         for i, x in extra.items():
             ids[ends[i] - lens[i]:ends[i]] = x
         before = np.concatenate([[0], ends])
         return ids, before[np.searchsorted(starts, off)]
 
 
+@functools.lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> SplitTokenizer:
+    """The tokenizer of a worker process: tasks that it runs one after another share the units known."""
+    return SplitTokenizer(path)
+
+
 # ---- Spark jobs -------------------------------------------------------------------------------------------------
 
 MANIFEST = "part long, seq long, path string, docs long, ids long, stored long"
@@ -298,7 +349,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str | Callable[[], str], order
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         path = tokenizer_path() if callable(tokenizer_path) else tokenizer_path
-        tok, part, seq = SplitTokenizer(path), TaskContext.get().partitionId(), 0
+        tok, part, seq = shared_tokenizer(path), TaskContext.get().partitionId(), 0
         ids, lengths, names, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
