@@ -232,6 +232,6 @@ def covering_dedup(docs: DataFrame, radius: int = 4, width: int = 4, hot: int =
     tied = classes.join(label.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     low = tied.groupBy("label").agg(F.min("low").alias("component_id"))
     by_class = salted_lookup(tied.select("fp", "label"), low, ["label"], "inner", salts=8).select("fp", "component_id")
-    return salted_lookup(prints, by_class, ["fp"], "inner").select(
+    return salted_lookup(prints, by_class, ["fp"], "inner", salts=8).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

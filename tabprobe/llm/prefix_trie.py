@@ -54,8 +54,8 @@ def numbered_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = turns.groupBy("conv", "pid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     mine = W.partitionBy("conv")
     earlier = mine.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
-    return turns, runs.select("conv", "pid", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-                              F.sum("n").over(mine).alias("total"))
+    runs = runs.select("conv", "pid", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(mine).alias("total"))
+    return turns, written(runs, "runs")
 
 
 def rebuilt_paths(conversations: DataFrame) -> DataFrame:
@@ -112,11 +112,12 @@ def subtree_totals(nodes: DataFrame, paths: DataFrame, names: list[str], deepest
     ``nodes`` has ``conv`` (any member), all at depths that ``step`` divides.
     """
     bands = _in_bands(paths, step, band)
-    inside = _to_ancestors(nodes, bands, F.expr(f"depth div {step * band}"), names)
+    here = F.expr(f"depth div {step * band}")
     if deepest < step * band:
-        return inside
-    bands, inside = written(bands, "bands"), written(inside, "inside")
-    tops = nodes.select("conv", *KEY).where(F.col("depth") % (step * band) == 0).join(inside, KEY)
+        return _to_ancestors(nodes, bands, here, names)
+    bands = written(bands, "bands")
+    inside = written(_to_ancestors(nodes, bands, here, names), "inside")
+    tops = written(nodes.select("conv", *KEY).where(F.col("depth") % (step * band) == 0).join(inside, KEY), "tops")
     done = subtree_totals(tops, paths, names, deepest, step * band, band)
     done = tops.select("conv", *KEY).join(done, KEY).where("depth > 0")
     below = _to_ancestors(done, bands, F.expr(f"depth div {step * band} - 1"), names)
@@ -171,6 +172,6 @@ def prefix_trie(conversations: DataFrame, band: int = BAND, piece: int = PIECE)
     totals = subtree_totals(values, paths, ["n_leaves", "saved_tokens"], deepest, band=band)
     parents = nodes.where("n_children > 0").select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"),
                                                     F.col("conv").alias("parent_conv_id"))
-    out = salted_lookup(nodes, parents, ["depth", "p1", "p2"], "left").join(totals, KEY).join(end_digests(paths, piece), KEY, "left")
+    out = salted_lookup(nodes, parents, ["depth", "p1", "p2"], "left", salts=8).join(totals, KEY).join(end_digests(paths, piece), KEY, "left")
     return out.select(F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "n_ends", "saved_tokens",
                       F.coalesce("sha", F.lit(EMPTY_SHA256)).alias("ends_sha256"))
