@@ -68,11 +68,9 @@ def assign_buckets(vc: DataFrame, group_cols: Sequence[str], d_max: int,
                        + ["bucket int", "lo double", "hi double"])
     edf = vc.sparkSession.createDataFrame(rows, schema).withColumnsRenamed({g: f"__e_{g}" for g in group_cols})
     e = bounded_broadcast(edf, len(rows))
-    cond = None
+    cond = (e["lo"].isNull() | (vc["value"] >= e["lo"])) & (e["hi"].isNull() | (vc["value"] < e["hi"]))
     for g in group_cols:
-        x = vc[g] == e[f"__e_{g}"]
-        cond = x if cond is None else cond & x
-    cond = cond & (e["lo"].isNull() | (vc["value"] >= e["lo"])) & (e["hi"].isNull() | (vc["value"] < e["hi"]))
+        cond = (vc[g] == e[f"__e_{g}"]) & cond
     return vc.join(e, cond, "inner").drop(*[f"__e_{g}" for g in group_cols], "lo", "hi")
 
 
@@ -92,9 +90,9 @@ def _running(vcb: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return vcb.withColumn("cum", F.sum("t").over(w))
 
 
-def ranks_from_counts(vc: DataFrame, group_cols: Sequence[str], sizes: tuple[int, int] | None = None,
-                      rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``(group..., value, t, start, avg_rank, n)`` from value counts."""
+def with_positions(vc: DataFrame, group_cols: Sequence[str], sizes: tuple[int, int] | None = None,
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Value counts with ``start``, ``avg_rank`` and the group's rows ``n``; other columns stay."""
     group_cols = list(group_cols)
     d_max, n_groups = sizes if sizes is not None else distinct_sizes(vc, group_cols)
     vcb = assign_buckets(vc, group_cols, d_max, rows_per_bucket)
@@ -102,7 +100,37 @@ def ranks_from_counts(vc: DataFrame, group_cols: Sequence[str], sizes: tuple[int
     bound = n_groups * bucket_count(d_max, rows_per_bucket)
     pos = _running(vcb, group_cols).join(bounded_broadcast(offsets, bound), [*group_cols, "bucket"])
     pos = pos.withColumn("start", F.col("off") + F.col("cum") - F.col("t"))
-    return pos.select(*group_cols, "value", "t", "start", (F.col("start") + (F.col("t") + 1) / 2.0).alias("avg_rank"), "n")
+    return pos.select(*vc.columns, "start", (F.col("start") + (F.col("t") + 1) / 2.0).alias("avg_rank"), "n")
+
+
+def ranks_from_counts(vc: DataFrame, group_cols: Sequence[str], sizes: tuple[int, int] | None = None,
+                      rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``(group..., value, t, start, avg_rank, n)`` from value counts."""
+    return with_positions(vc, group_cols, sizes, rows_per_bucket).select(*group_cols, "value", "t", "start", "avg_rank", "n")
+
+
+def attach_ranks(rows: DataFrame, value: str, group_cols: Sequence[str], out: str,
+                 rows_per_bucket: int = ROWS_PER_BUCKET, heavy: int = 1000, source: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``out``: the average rank of ``value`` (never NULL) in its group.
+
+    Values that hold more than one in ``heavy`` rows of a group, at most ``heavy`` a group, are looked up from a broadcast
+    table; their rows go past the join with the other ranks under keys of their own, so that join has no hot key,
+    whatever share of the rows one value holds. ``source`` has the same values with a shorter plan, if ``rows`` has grown.
+    """
+    g = list(group_cols)
+    vc = value_counts((rows if source is None else source).select(*g, F.col(value).alias("value")), g)
+    of_group = vc.groupBy(*g).agg(F.count("*").alias("d"), F.sum("t").alias("n"), F.max("t").alias("top"))
+    size = of_group.agg(F.max("d").alias("d"), F.count("*").alias("g"), F.max(F.col("top") / F.col("n")).alias("share")).first()
+    sizes = (int(size["d"] or 0), int(size["g"] or 0))
+    rt = ranks_from_counts(vc, g, sizes, rows_per_bucket).withColumnRenamed("value", value).withColumnRenamed("avg_rank", out)
+    if (size["share"] or 0.0) * heavy <= 1:
+        return rows.join(rt.select(*g, value, out), [*g, value])
+    hot = rt.where(F.col("t") * heavy > F.col("n")).select(*g, value, F.col(out).alias("__hot"))
+    met = rows.join(bounded_broadcast(hot, sizes[1] * heavy), [*g, value], "left")
+    own = F.xxhash64(*[F.col(f"`{x}`") for x in rows.columns]).cast("double")
+    met = met.withColumn("__met", F.col("__hot").isNotNull()).withColumn("__key", F.when(F.col("__met"), own).otherwise(F.col(value)))
+    light = rt.where(F.col("t") * heavy <= F.col("n")).select(*g, F.col(value).alias("__key"), F.lit(False).alias("__met"), F.col(out).alias("__light"))
+    return met.join(light, [*g, "__met", "__key"], "left").select(*rows.columns, F.coalesce("__hot", "__light").alias(out))
 
 
 def rank_table(long_df: DataFrame, group_cols: Sequence[str] = ("column",), sizes: tuple[int, int] | None = None,

@@ -90,26 +90,40 @@ def anova_oneway(df: DataFrame, features: Sequence[str], target: str) -> DataFra
     return a.withColumn("p_value", p_f(F.col("f"), F.col("df1"), F.col("df2")))
 
 
+def class_counts(lg: DataFrame) -> DataFrame:
+    """``(column, class, value, t)``: the one table that Levene, Mann-Whitney and Kruskal-Wallis are all worked out from.
+
+    Counted map-side, so a value that many rows share is one row for each class.
+    """
+    return lg.groupBy("column", "class", "value").agg(F.count("*").alias("t"))
+
+
+def kept_counts(df: DataFrame, features: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
+    """Class counts without groups under ``MIN_GROUP`` rows, and the table of groups that stay."""
+    lg = class_long(df, features, target)
+    g = _groups(lg)
+    return class_counts(lg).join(g.select("column", "class"), ["column", "class"], "left_semi"), g
+
+
 def levene(df: DataFrame, features: Sequence[str], target: str,
            rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """Median-centred Levene F (one-way ANOVA on |x − group median|) and p per feature."""
-    return levene_from(_kept(df, features, target)[0], rows_per_bucket)
+    return levene_from(*kept_counts(df, features, target), rows_per_bucket)
 
 
-def levene_from(lgk: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
-    """Levene from long rows ``(column, class, value)`` already restricted to kept groups.
+def levene_from(kept: DataFrame, g: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """Levene from class counts of kept groups and their ``_groups`` table.
 
-    Deviations are taken from value counts, so a value that many rows share is one row of the join with the medians.
+    Sums of deviations are taken around the group's standard deviation, so no second pass and no cancellation.
     """
     keys = ["column", "class"]
-    vc = ranks.value_counts(lgk, keys)
-    med = ranks.quantiles_from_counts(vc, [0.5], keys, rows_per_bucket=rows_per_bucket)
-    dev = vc.join(med.select(*keys, F.col("q").alias("med")), keys).withColumn("value", F.abs(F.col("value") - F.col("med")))
-    t, v = F.col("t"), F.col("value")
-    mean = dev.groupBy(*keys).agg(F.sum("t").alias("n"), (F.sum(t * v) / F.sum("t")).alias("mean"))
-    g = dev.select(*keys, "value", "t").join(mean, keys).groupBy(*keys, "n", "mean").agg(
-        F.try_divide(F.sum(t * (v - F.col("mean")) * (v - F.col("mean"))), F.col("n") - 1).alias("var"))
-    a = _anova_from_groups(g)
+    med = ranks.quantiles_from_counts(kept, [0.5], keys, rows_per_bucket=rows_per_bucket)
+    centre = med.select(*keys, F.col("q").alias("med")).join(g.select(*keys, F.coalesce("std", F.lit(0.0)).alias("k")), keys)
+    t, d = F.col("t"), F.abs(F.col("value") - F.col("med")) - F.col("k")
+    s = kept.join(centre, keys).groupBy(*keys, "k").agg(F.sum("t").alias("n"), F.sum(t * d).alias("s1"), F.sum(t * d * d).alias("s2"))
+    dev = s.select(*keys, "n", (F.col("k") + F.col("s1") / F.col("n")).alias("mean"), F.try_divide(
+        F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0)), F.col("n") - 1).alias("var"))
+    a = _anova_from_groups(dev)
     return a.select("column", "f", "df1", "df2", p_f(F.col("f"), F.col("df1"), F.col("df2")).alias("p_value"))
 
 
@@ -141,44 +155,47 @@ def two_group_from(g: DataFrame) -> DataFrame:
         "p_welch", p_t(F.col("t_welch"), F.col("dof_welch")))
 
 
-def rank_sums(lg: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Pooled average ranks per feature → (rank sum per feature × class, tie term per feature).
+def rank_sums(kept: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """Rank sum ``R``, rows ``n`` and tie term ``tie`` of each feature × class, from class counts.
 
-    Ranks come from the bucketed ``rank_table`` (no global sort); class counts
-    per distinct value are joined to it, so the work is per distinct value.
+    Counts are ranked where they lie: sums over the values up to a row's own (its classes are peers) inside ordered buckets
+    of values. Nothing is joined on a value.
     """
-    rt = ranks.rank_table(lg.select("column", "value"), ["column"], rows_per_bucket=rows_per_bucket)
-    vcc = lg.groupBy("column", "value", "class").agg(F.count("*").alias("tc"))
-    rs = (vcc.join(rt.select("column", "value", "avg_rank"), ["column", "value"])
-          .groupBy("column", "class").agg(F.sum(F.col("tc") * F.col("avg_rank")).alias("R"),
-                                          F.sum("tc").alias("n")))
-    ties = rt.groupBy("column").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie"),
-                                    F.sum("t").alias("nt"))
-    return rs, ties
+    size, n_groups = ranks.distinct_sizes(kept, ["column"])
+    b = ranks.assign_buckets(kept, ["column"], size, rows_per_bucket)
+    up_to = Window.partitionBy("column", "bucket").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    b = (b.withColumn("cum", F.sum("t").over(up_to))
+         .withColumn("tv", F.sum("t").over(Window.partitionBy("column", "bucket", "value")).cast("double")))
+    if ranks.bucket_count(size, rows_per_bucket) > 1:
+        off = ranks.bucket_offsets(b, ["column"]).select("column", "bucket", "off")
+        b = b.join(bounded_broadcast(off, n_groups * ranks.bucket_count(size, rows_per_bucket)), ["column", "bucket"])
+    else:
+        b = b.withColumn("off", F.lit(0))
+    rank = F.col("off") + F.col("cum") - F.col("tv") + (F.col("tv") + 1) / 2.0
+    # a value's t³ - t, shared out over its rows
+    return b.groupBy("column", "class").agg(F.sum(F.col("t") * rank).alias("R"), F.sum("t").alias("n"),
+                                            F.sum(F.col("t") * (F.col("tv") * F.col("tv") - 1)).alias("tie"))
 
 
-def _kept(df, features, target):
-    lg = class_long(df, features, target)
-    g = _groups(lg)
-    return lg.join(g.select("column", "class"), ["column", "class"], "left_semi"), g
+def _rank_totals(rs: DataFrame) -> DataFrame:
+    return rs.groupBy("column").agg(F.sum("tie").alias("tie"), F.sum("n").alias("nt"), F.count("*").alias("k"),
+                                    F.sum(F.col("R") * F.col("R") / F.col("n")).alias("s"))
 
 
 def mann_whitney(df: DataFrame, features: Sequence[str], target: str,
                  rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """U of the first group, tie- and continuity-corrected z, two-sided p (two-group features)."""
-    lgk, g = _kept(df, features, target)
-    return mann_whitney_from(lgk, g, rows_per_bucket)
+    kept, g = kept_counts(df, features, target)
+    return mann_whitney_from(rank_sums(kept, rows_per_bucket), g)
 
 
-def mann_whitney_from(lgk: DataFrame, g: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
-    """Mann-Whitney from kept long rows ``(column, class, value)`` and their ``_groups`` table."""
+def mann_whitney_from(rs: DataFrame, g: DataFrame) -> DataFrame:
+    """Mann-Whitney from rank sums and the ``_groups`` table (rows per feature × class only)."""
     two = g.where(F.col("n_groups") == 2).select("column", "class", "g")
-    lg2 = lgk.join(two.select("column"), "column", "left_semi")
-    rs, ties = rank_sums(lg2, rows_per_bucket)
-    rs = rs.join(two, ["column", "class"])
-    a = rs.where(F.col("g") == 1).select("column", F.col("R").alias("R1"), F.col("n").alias("n1"))
-    b = rs.where(F.col("g") == 2).select("column", F.col("n").alias("n2"))
-    j = a.join(b, "column").join(ties, "column")
+    j = rs.join(two, ["column", "class"])
+    a = j.where(F.col("g") == 1).select("column", F.col("R").alias("R1"), F.col("n").alias("n1"))
+    b = j.where(F.col("g") == 2).select("column", F.col("n").alias("n2"))
+    j = a.join(b, "column").join(_rank_totals(rs), "column")
     n1, n2, N = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("nt").cast("double")
     u1 = F.col("R1") - n1 * (n1 + 1) / 2
     s = F.sqrt(n1 * n2 / 12 * ((N + 1) - F.col("tie") / (N * (N - 1))))
@@ -190,16 +207,12 @@ def mann_whitney_from(lgk: DataFrame, g: DataFrame, rows_per_bucket: int = ranks
 def kruskal(df: DataFrame, features: Sequence[str], target: str,
             rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """E8 + E16: tie-corrected H, dof, epsilon² and p per feature (k ≥ 2 groups)."""
-    lgk, g = _kept(df, features, target)
-    return kruskal_from(lgk, g, rows_per_bucket)
+    return kruskal_from(rank_sums(kept_counts(df, features, target)[0], rows_per_bucket))
 
 
-def kruskal_from(lgk: DataFrame, g: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
-    """Kruskal-Wallis from kept long rows and their ``_groups`` table."""
-    multi = g.where(F.col("n_groups") >= 2).select("column").distinct()
-    rs, ties = rank_sums(lgk.join(multi, "column", "left_semi"), rows_per_bucket)
-    agg = rs.groupBy("column").agg(F.sum(F.col("R") * F.col("R") / F.col("n")).alias("s"),
-                                   F.count("*").alias("k")).join(ties, "column")
+def kruskal_from(rs: DataFrame) -> DataFrame:
+    """Kruskal-Wallis from rank sums."""
+    agg = _rank_totals(rs).where(F.col("k") >= 2)
     N = F.col("nt").cast("double")
     h0 = 12.0 / (N * (N + 1)) * F.col("s") - 3 * (N + 1)
     h = F.try_divide(h0, 1 - F.col("tie") / (N * N * N - N))
@@ -236,45 +249,61 @@ def pearson_test(df: DataFrame, features: Sequence[str], target: str) -> DataFra
 
 
 def pearson_from(xy: DataFrame) -> DataFrame:
-    a = _corr_agg(xy, "value", "y").where(F.col("n") >= MIN_PAIRS)
-    a = a.select("column", "n", _r().alias("r"))
+    return pearson_from_moments(_corr_agg(xy, "value", "y"))
+
+
+def pearson_from_moments(m: DataFrame) -> DataFrame:
+    a = m.where(F.col("n") >= MIN_PAIRS).select("column", "n", _r().alias("r"))
     t = _r_t(F.col("r"), F.col("n"))
     return a.withColumn("t", t).withColumn(
         "p_value", F.when(F.abs("r") >= 1, F.lit(0.0)).otherwise(p_t(F.col("t"), F.col("n") - 2)))
 
 
-def with_ranks(lg: DataFrame, value: str, group_cols: Sequence[str], out: str,
-               rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
-    """Attach the average rank of ``value`` within ``group_cols`` to each row (join on the distinct-value ranks)."""
-    src = lg.select(*group_cols, F.col(value).alias("value"))
-    rt = ranks.rank_table(src, group_cols, rows_per_bucket=rows_per_bucket).select(
-        *group_cols, F.col("value").alias(value), F.col("avg_rank").alias(out))
-    return lg.join(rt, [*group_cols, value])
-
-
 def spearman_test(df: DataFrame, features: Sequence[str], target: str,
-                  rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
-    """Spearman rho (Pearson on average ranks over complete pairs), t and p."""
-    return spearman_from(_xy_long(df, features, target), rows_per_bucket)
-
-
-def spearman_from(lg: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET,
-                  y_rows: DataFrame | None = None) -> DataFrame:
-    """``y_rows`` (one ``y`` per input row) may be given when no feature has NULLs: every feature then
-    pairs with the same rows, so the target is ranked once instead of once per feature."""
-    lg = with_ranks(lg, "value", ["column"], "rx", rows_per_bucket)
-    if y_rows is None:
-        lg = with_ranks(lg, "y", ["column"], "ry", rows_per_bucket)
-    else:
-        rt = ranks.rank_table(y_rows.select(F.lit("y").alias("column"), F.col("y").alias("value")), ["column"],
-                              rows_per_bucket=rows_per_bucket).select(F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
-        lg = lg.join(rt, "y")
-    a = _corr_agg(lg, "rx", "ry").where(F.col("n") >= MIN_PAIRS).select("column", "n", _r().alias("rho"))
+                  rows_per_bucket: int = ranks.ROWS_PER_BUCKET, missing: dict[str, int] | None = None) -> DataFrame:
+    """Spearman rho (Pearson on average ranks over complete pairs), t and p.
+
+    The target is ranked once for all features without NULLs (``missing`` counts them); for the others it is ranked over
+    each feature's own complete pairs.
+    """
+    d = df.withColumn("__y", as_double(df, target)).where(F.col("__y").isNotNull())
+    if missing is None:
+        missing = d.agg(*[F.count_if(as_double(df, x).isNull()).alias(f"m{i}") for i, x in enumerate(features)]).first()
+        missing = {x: missing[f"m{i}"] for i, x in enumerate(features)}
+    full, part = [x for x in features if not missing[x]], [x for x in features if missing[x]]
+    out = None
+    if full:
+        slim = d.select(*[as_double(df, x).alias(f"__x{i}") for i, x in enumerate(full)], "__y")
+        ranked = ranks.attach_ranks(slim, "__y", [], "ry", rows_per_bucket)
+        pairs = F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"__x{i}").alias("value")) for i, x in enumerate(full)])
+        out = _rho(ranked.select(F.inline(pairs), "ry"), rows_per_bucket)
+    if part:
+        lg = ranks.attach_ranks(_xy_long(df, part, target), "y", ["column"], "ry", rows_per_bucket)
+        more = _rho(lg.select("column", "value", "ry"), rows_per_bucket)
+        out = more if out is None else out.unionByName(more)
     t = _r_t(F.col("rho"), F.col("n"))
-    return a.withColumn("t", t).withColumn(
+    return out.where(F.col("n") >= MIN_PAIRS).withColumn("t", t).withColumn(
         "p_value", F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(p_t(F.col("t"), F.col("n") - 2)))
 
 
+def _rho(rows: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """``(column, n, rho)`` from rows ``(column, value, ry)``, ``ry`` being the other side's rank.
+
+    Rows are summed by value, so the ranks of ``value`` meet sums over distinct values and never rows:
+    sum(rx * ry) = sum over values of rx * (sum of ry of its rows). Ranks are taken less their mean (n + 1) / 2.
+    """
+    vc = rows.groupBy("column", "value").agg(F.count("*").alias("t"), F.sum("ry").alias("sy"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
+    size, n_groups = ranks.distinct_sizes(vc, ["column"])
+    r = ranks.with_positions(vc, ["column"], (size, n_groups), rows_per_bucket)
+    mid = (F.col("n") + 1) / 2.0
+    dx, sy = F.col("avg_rank") - mid, F.col("sy") - F.col("t") * mid
+    a = r.groupBy("column", "n").agg(F.sum(dx * sy).alias("cv"), F.sum(F.col("t") * dx * dx).alias("vx"), F.sum("syy").alias("syy"))
+    n = F.col("n").cast("double")
+    vy = F.col("syy") - n * ((n + 1) / 2) * ((n + 1) / 2)
+    rho = F.when((F.col("vx") > 0) & (vy > 0.25), F.col("cv") / F.sqrt(F.col("vx") * vy))
+    return a.select("column", "n", F.least(F.greatest(rho, F.lit(-1.0)), F.lit(1.0)).alias("rho"))
+
+
 def point_biserial(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Two-valued feature vs numeric target: r of (x = max x) with y, t and p."""
     lg = _xy_long(df, features, target)
@@ -290,32 +319,36 @@ def spearman_collinearity(df: DataFrame, cols: Sequence[str], threshold: float =
                           rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """Numeric pairs with |rho| > threshold over ≥ 10 complete rows.
 
-    Each column is ranked once (join of rows to its distinct-value ranks) and all
-    pairs are correlated in one aggregation. A pair whose columns have NULLs is
-    re-ranked over its own complete rows, as pairwise deletion requires.
+    Each column without NULLs is ranked once and all their pairs are correlated in one
+    aggregation. Pairs with NULLs are re-ranked over their own complete rows, as pairwise
+    deletion requires, all of them in one long form.
     """
     from tabprobe.operators import quality as Q
     cols = list(cols)
-    nulls = df.agg(*[F.count_if(as_double(df, x).isNull()).alias(x) for x in cols]).first().asDict()
-    ranked = df
-    for x in cols:
-        lg = numeric_long(df, [x]).where(F.col("value").isNotNull())
-        rt = ranks.rank_table(lg, ["column"], rows_per_bucket=rows_per_bucket).select(
-            F.col("value").alias(f"__v_{x}"), F.col("avg_rank").alias(f"__r_{x}"))
-        ranked = ranked.withColumn(f"__v_{x}", as_double(df, x)).join(rt, f"__v_{x}", "left")
+    nulls = df.agg(*[F.count_if(as_double(df, x).isNull()).alias(f"m{i}") for i, x in enumerate(cols)]).first()
+    nulls = {x: nulls[f"m{i}"] for i, x in enumerate(cols)}
     full = [x for x in cols if nulls[x] == 0]
-    pairs = Q.pearson_pairs(ranked, [f"__r_{x}" for x in full]).select(
-        F.regexp_replace("col_a", "^__r_", "").alias("col_a"), F.regexp_replace("col_b", "^__r_", "").alias("col_b"),
-        "n", F.col("r").alias("rho"))
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            if nulls[a] == 0 and nulls[b] == 0:
-                continue
-            sub = df.where(as_double(df, a).isNotNull() & as_double(df, b).isNotNull())
-            one = spearman_test(sub.select(F.col(a).alias("__a"), F.col(b).alias("__b")), ["__a"], "__b",
-                                rows_per_bucket)
-            pairs = pairs.unionByName(one.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), "n", "rho"))
-    order = {x: i for i, x in enumerate(cols)}
+    ranked = df.select(*[as_double(df, x).alias(f"v{i}") for i, x in enumerate(cols)])
+    pairs = None
+    if len(full) > 1:
+        base = ranked
+        for x in full:
+            i = cols.index(x)
+            ranked = ranks.attach_ranks(ranked, f"v{i}", [], f"r{i}", rows_per_bucket, source=base)
+        name = F.create_map(*[F.lit(v) for i, x in enumerate(cols) for v in (f"r{i}", x)])
+        pairs = Q.pearson_pairs(ranked, [f"r{cols.index(x)}" for x in full]).select(
+            name[F.col("col_a")].alias("col_a"), name[F.col("col_b")].alias("col_b"), "n", F.col("r").alias("rho"))
+    holes = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols)) if nulls[cols[i]] or nulls[cols[j]]]
+    if holes:  # all pairs with NULLs at once: a pair is a group of the long form
+        one = F.array(*[F.struct(F.lit(f"{i},{j}").alias("column"), F.col(f"v{i}").alias("value"), F.col(f"v{j}").alias("y")) for i, j in holes])
+        lg = df.select(*[as_double(df, x).alias(f"v{i}") for i, x in enumerate(cols)]).select(F.inline(one)).where(F.col("value").isNotNull() & F.col("y").isNotNull())
+        lg = ranks.attach_ranks(lg, "y", ["column"], "ry", rows_per_bucket).select("column", "value", "ry")
+        names = F.array(*[F.lit(x) for x in cols])
+        at = F.split("column", ",")
+        more = _rho(lg, rows_per_bucket).select(names[at[0].cast("int")].alias("col_a"), names[at[1].cast("int")].alias("col_b"), "n", "rho")
+        pairs = more if pairs is None else pairs.unionByName(more)
+    if pairs is None:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, n long, rho double")
     return pairs.where((F.col("n") >= MIN_PAIRS) & (F.abs("rho") > threshold)).select(
         "col_a", "col_b", "n", "rho")
 
@@ -323,44 +356,55 @@ def spearman_collinearity(df: DataFrame, cols: Sequence[str], threshold: float =
 # ── categorical feature vs class target ───────────────────────────────────────
 
 def contingency(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """``(column, level, class, observed)`` for every level × class of each feature (0 when absent).
-
-    Class margins are tiny (features × classes) and broadcast, so the full grid
-    is built next to the level margins without a shuffle.
-    """
+    """``(column, level, class, observed)`` for the cells that have rows; absent cells are 0."""
     d = df.withColumn("__class", as_label(df, target))
     lg = label_long(d, features, keep=["__class"]).withColumnRenamed("__class", "class")
     lg = lg.where(F.col("class").isNotNull() & F.col("value").isNotNull()).withColumnRenamed("value", "level")
-    obs = lg.groupBy("column", "level", "class").agg(F.count("*").alias("observed"))
-    levels = obs.select("column", "level").distinct()
-    classes = obs.select("column", "class").distinct()
-    grid = levels.join(F.broadcast(classes), "column")
-    return grid.join(obs, ["column", "level", "class"], "left").fillna(0, ["observed"])
+    return lg.groupBy("column", "level", "class").agg(F.count("*").alias("observed"))
 
 
 def chi_square(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """E12 + E13: chi² (Yates when dof = 1), dof, % expected < 5, assumption flag, Cramér's V, p."""
-    t = contingency(df, features, target)
-    rows = t.groupBy("column", "level").agg(F.sum("observed").alias("ri"))
-    cols = t.groupBy("column", "class").agg(F.sum("observed").alias("cj"))
-    n = cols.groupBy("column").agg(F.sum("cj").alias("nt"), F.count("*").alias("k"))
-    r = rows.groupBy("column").agg(F.count("*").alias("r"))
-    shape = n.join(r, "column").where((F.col("r") >= 2) & (F.col("k") >= 2))
-    dof = (F.col("r") - 1) * (F.col("k") - 1)
-    e = (t.join(rows, ["column", "level"]).join(F.broadcast(cols), ["column", "class"])
-         .join(F.broadcast(shape), "column")
-         .withColumn("E", F.col("ri") * F.col("cj") / F.col("nt")).withColumn("dof", dof))
-    diff = F.abs(F.col("observed") - F.col("E"))
-    adj = F.when(F.col("dof") == 1, diff - F.least(F.lit(0.5), diff)).otherwise(diff)
-    agg = e.groupBy("column", "nt", "r", "k", "dof").agg(
-        F.sum(adj * adj / F.col("E")).alias("chi2"),
-        (F.count_if(F.col("E") < 5) / F.count("*")).alias("low"))
+    return chi_square_from(contingency(df, features, target))
+
+
+def chi_square_from(obs: DataFrame) -> DataFrame:
+    """Chi² from the cells that have rows: n (Σ o² / (r c) − 1), without the grid of all levels × classes.
+
+    Cells are summed to one row a level after meeting their class's margin. Expected counts under 5 are counted for absent
+    cells too, by a running count over the sorted margins: r c / n < 5 holds for the levels with r < 5 n / c.
+    """
+    by_class = Window.partitionBy("column").orderBy("class")
+    margins = obs.groupBy("column", "class").agg(F.sum("observed").alias("cj"))
+    margins = margins.withColumn("first", F.row_number().over(by_class) == 1)
+    o = F.col("observed").cast("double")
+    levels = obs.join(margins, ["column", "class"]).groupBy("column", "level").agg(
+        F.sum("observed").alias("r"), F.sum(o * o / F.col("cj")).alias("s"), F.sum(F.when(F.col("first"), F.col("observed")).otherwise(0)).alias("a"))
+    of_levels = levels.groupBy("column").agg(
+        F.sum("r").alias("nt"), F.count("*").alias("r"), F.sum(F.col("s") / F.col("r")).alias("q"), F.sum(1.0 / F.col("r")).alias("ir"),
+        F.sum("a").alias("c1"), F.max(F.struct("level", "a", "r")).alias("one"))
+    of_classes = margins.groupBy("column").agg(F.count("*").alias("k"), F.sum(1.0 / F.col("cj")).alias("ic"))
+    shape = of_levels.join(of_classes, "column").where((F.col("r") >= 2) & (F.col("k") >= 2)).withColumn("dof", (F.col("r") - 1) * (F.col("k") - 1))
+    # how many levels are small against each class: levels of one margin are one row
+    under = F.ceil(F.lit(5.0) * F.col("nt") / F.col("cj")).cast("long")
+    marks = margins.join(shape.select("column", "nt"), "column").select("column", under.alias("at"), F.lit(0).cast("long").alias("m"), F.lit(1).alias("asks"))
+    sizes = levels.groupBy("column", F.col("r").alias("at")).agg(F.count("*").alias("m")).withColumn("asks", F.lit(0))
+    before = Window.partitionBy("column").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    low = sizes.select("column", "at", "m", "asks").unionByName(marks).withColumn("low", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    low = low.where(F.col("asks") == 1).groupBy("column").agg(F.sum("low").alias("cells"))
+    j = shape.join(low, "column")
+    n = F.col("nt").cast("double")
+    plain = F.greatest(n * (F.col("q") - 1), F.lit(0.0))
+    # 2 x 2: every cell is off by the same amount
+    off = F.abs(F.col("one.a") - F.col("one.r") * F.col("c1") / n)
+    adj = off - F.least(F.lit(0.5), off)
+    chi2 = F.when(F.col("dof") == 1, adj * adj * n * F.col("ir") * F.col("ic")).otherwise(plain)
+    share = F.col("cells") / (F.col("r") * F.col("k"))
     mk = F.least("r", "k")
-    v = F.when(mk > 1, F.sqrt(F.col("chi2") / (F.col("nt") * (mk - 1)))).otherwise(F.lit(0.0))
-    return agg.select("column", F.col("chi2").alias("statistic"), F.col("dof").cast("long").alias("dof"),
-                      (F.col("low") * 100).alias("pct_cells_low_expected"),
-                      (F.col("low") < 0.20).alias("expected_freq_assumption_ok"), v.alias("cramers_v"),
-                      "r", "k").withColumn("p_value", p_chi2(F.col("statistic"), F.col("dof")))
+    v = F.when(mk > 1, F.sqrt(F.col("statistic") / (F.col("nt") * (mk - 1)))).otherwise(F.lit(0.0))
+    return j.withColumn("statistic", chi2).select(
+        "column", "statistic", F.col("dof").cast("long").alias("dof"), (share * 100).alias("pct_cells_low_expected"),
+        (share < 0.20).alias("expected_freq_assumption_ok"), v.alias("cramers_v"), "r", "k").withColumn("p_value", p_chi2(F.col("statistic"), F.col("dof")))
 
 
 def category_vs_numeric(df: DataFrame, features: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
@@ -372,12 +416,12 @@ def category_vs_numeric(df: DataFrame, features: Sequence[str], target: str) ->
     lg = label_long(d, features, keep=["__y"]).where(F.col("value").isNotNull() & F.col("__y").isNotNull())
     lg = lg.select("column", F.col("value").alias("class"), F.col("__y").alias("value"))
     g = _groups(lg)
-    return _levels_vs_numeric(lg.join(g.select("column", "class"), ["column", "class"], "left_semi"), g)
+    kept = class_counts(lg).join(g.select("column", "class"), ["column", "class"], "left_semi")
+    return _anova_p(g), kruskal_from(rank_sums(kept))
 
 
-def _levels_vs_numeric(lgk: DataFrame, g: DataFrame) -> tuple[DataFrame, DataFrame]:
-    a = _anova_from_groups(g)
-    return a.withColumn("p_value", p_f(F.col("f"), F.col("df1"), F.col("df2"))), kruskal_from(lgk, g)
+def _anova_p(g: DataFrame) -> DataFrame:
+    return _anova_from_groups(g).withColumn("p_value", p_f(F.col("f"), F.col("df1"), F.col("df2")))
 
 
 # ── FDR, mutual information, ranking ──────────────────────────────────────────
@@ -396,14 +440,25 @@ def bh_fdr(tests: DataFrame, p_col: str = "p_value", alpha: float = ALPHA) -> Da
     return t.drop("__k", "__n", "__adj", "__kmax")
 
 
-def _binned(lg: DataFrame, bins: int, rows_per_bucket: int) -> DataFrame:
-    """Equal-frequency bin of ``value`` per column: floor(rank start · bins / n); NULL → −1."""
-    nn = lg.where(F.col("value").isNotNull())
-    rt = ranks.rank_table(nn.select("column", "value"), ["column"], rows_per_bucket=rows_per_bucket)
-    b = rt.select("column", "value", F.floor(F.col("start") * bins / F.col("n")).cast("string").alias("xb"))
-    # NULLs have no partner: they go past the join, not to one key of it
-    none = lg.where(F.col("value").isNull()).withColumn("xb", F.lit("-1"))
-    return nn.join(b, ["column", "value"]).unionByName(none)
+def bin_edges(df: DataFrame, cols: Sequence[str], bins: int, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> dict[str, list[tuple[float, int]]]:
+    """Equal-frequency bins of each column: (smallest value, bin) in order; the bin is floor(rank start · bins / n).
+
+    At most ``bins`` pairs a column reach the driver.
+    """
+    if not cols:
+        return {}
+    lg = numeric_long(df, cols)
+    rt = ranks.rank_table(lg, ["column"], rows_per_bucket=rows_per_bucket)
+    e = rt.groupBy("column", F.floor(F.col("start") * bins / F.col("n")).alias("bin")).agg(F.min("value").alias("lo")).collect()
+    return {x: sorted((r["lo"], r["bin"]) for r in e if r["column"] == x) for x in cols}
+
+
+def bin_of(value: F.Column, edges: list[tuple[float, int]]) -> F.Column:
+    """The bin whose range holds ``value`` as a label; NULL → −1. A few comparisons a row, and no join."""
+    if not edges:
+        return F.lit("-1")
+    at = F.size(F.filter(F.array(*[F.lit(float(lo)) for lo, _ in edges]), lambda lo: lo <= value))
+    return F.when(value.isNull(), F.lit("-1")).otherwise(F.array(*[F.lit(str(b)) for _, b in edges])[at - 1])
 
 
 def mutual_information(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
@@ -417,21 +472,14 @@ def mutual_information(df: DataFrame, numeric: Sequence[str], categorical: Seque
     """
     if problem_type == "classification":
         d = df.withColumn("__y", as_label(df, target)).where(F.col("__y").isNotNull())
+        edges = bin_edges(d, numeric, bins, rows_per_bucket)
     else:
-        d = df.withColumn("__yv", as_double(df, target)).where(F.col("__yv").isNotNull())
-        yl = d.select(F.lit(target).alias("column"), F.col("__yv").alias("value"))
-        yb = _binned(yl, bins, rows_per_bucket).select(F.col("value").alias("__yv"), F.col("xb").alias("__y")).distinct()
-        d = d.join(yb, "__yv")
-    parts = []
-    if numeric:
-        lg = numeric_long(d, numeric, keep=["__y"])
-        parts.append(_binned(lg, bins, rows_per_bucket).select("column", "xb", "__y"))
-    if categorical:
-        lg = label_long(d, categorical, keep=["__y"])
-        parts.append(lg.select("column", F.coalesce("value", F.lit(NULL_LEVEL)).alias("xb"), "__y"))
-    lg = parts[0]
-    for p in parts[1:]:
-        lg = lg.unionByName(p)
+        d = df.where(as_double(df, target).isNotNull())
+        edges = bin_edges(d, [target, *(x for x in numeric if x != target)], bins, rows_per_bucket)
+        d = d.withColumn("__y", bin_of(as_double(df, target), edges[target]))
+    sides = [(x, bin_of(as_double(df, x), edges[x])) for x in numeric]
+    sides += [(x, F.coalesce(as_label(df, x), F.lit(NULL_LEVEL))) for x in categorical]
+    lg = d.select("__y", F.inline(F.array(*[F.struct(F.lit(x).alias("column"), xb.cast("string").alias("xb")) for x, xb in sides])))
     xy = lg.groupBy("column", "xb", "__y").agg(F.count("*").alias("nxy"))
     nx = xy.groupBy("column", "xb").agg(F.sum("nxy").alias("nx"))
     ny = xy.groupBy("column", "__y").agg(F.sum("nxy").alias("ny"))
@@ -483,10 +531,6 @@ def significance_buckets(ranked: DataFrame) -> DataFrame:
 
 # ── E2 + E25: normality gate and the per-feature router ───────────────────────
 
-def _levene_p(lgk: DataFrame) -> DataFrame:
-    return levene_from(lgk).select("column", F.col("p_value").alias("levene_p"))
-
-
 def normality_gate(lg: DataFrame, group_cols: Sequence[str], shapiro_sample: int | None = None) -> DataFrame:
     """A group passes with n ≥ 8 and a normality p > α; all groups of a column must pass.
 
@@ -506,6 +550,45 @@ def normality_gate(lg: DataFrame, group_cols: Sequence[str], shapiro_sample: int
     return ok.groupBy("column").agg(F.bool_and("ok").alias("normal"))
 
 
+_RANK_SUMS = "column string, class string, R double, n long, tie double"
+
+
+def _gated(lg: DataFrame, frozen: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups, the gates ``(column, normal, eqv)`` and the persisted class counts of kept groups, from long rows.
+
+    Group moments and the normality gate are one map-side aggregation of the rows. The groups are collected only if there
+    are few for sure (``frozen``: features × classes).
+    """
+    from pyspark import StorageLevel
+
+    from tabprobe.operators.profile import _freeze
+
+    m = lg.groupBy("column", "class").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("var"),
+        F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2")).where(F.col("n") >= MIN_GROUP)
+    m = _freeze(m) if frozen else m.persist(StorageLevel.MEMORY_AND_DISK)
+    w = Window.partitionBy("column")
+    g = m.withColumn("n_groups", F.count("*").over(w)).withColumn("g", F.row_number().over(w.orderBy("class")))
+    normal = _with_gate(m, "ok").groupBy("column").agg(F.bool_and("ok").alias("normal"))
+    kept = class_counts(lg).join(m.select("column", "class"), ["column", "class"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    lev = levene_from(kept, m).select("column", F.coalesce(F.col("p_value") > ALPHA, F.lit(False)).alias("eqv"))
+    return g, _freeze(normal.join(lev, "column", "left")), kept
+
+
+def _with_gate(m: DataFrame, out: str, n: str = "n", g1: str = "g1", g2: str = "g2") -> DataFrame:
+    """Adds ``out``: n ≥ 8 and K² of the skewness and excess kurtosis is not significant."""
+    p = chi2_sf_2dof(F.col("gate_k2"))
+    ok = (F.col(n) >= NORMALITY_MIN_N) & F.coalesce(~F.isnan(p) & (p > ALPHA), F.lit(False))
+    return with_dagostino(m, g1, g2, n, "gate_k2").withColumn(out, ok).drop("gate_k2")
+
+
+def _pair_moments(xy: DataFrame) -> DataFrame:
+    """Size, co-moments and shape of both sides of each feature's complete pairs: one pass, combined map-side."""
+    return xy.groupBy("column").agg(
+        F.count("*").alias("n"), F.covar_pop("value", "y").alias("cv"), F.stddev_pop("value").alias("sx"), F.stddev_pop("y").alias("sy"),
+        F.skewness("value").alias("x_g1"), F.kurtosis("value").alias("x_g2"), F.skewness("y").alias("y_g1"), F.kurtosis("y").alias("y_g2"))
+
+
 _OUT = "feature string, test string, statistic double, p_value double, effect_size double, effect_metric string, " \
        "n_groups long, normality_assumption boolean, equal_variance_assumption boolean, " \
        "expected_freq_assumption_ok boolean, pct_cells_low_expected double, skipped string"
@@ -552,6 +635,8 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
     insufficient_groups, insufficient_data, insufficient_categories). BH
     adjustment (E20) and the effect label (E17) are added at the end.
     """
+    from tabprobe.operators.profile import _freeze
+
     spark = df.sparkSession
     feats = [x for x in (features or df.columns) if x != target]
     info = router_info(df, feats)
@@ -569,29 +654,16 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
             skipped.append((x, "unsupported_dtype"))
     if problem_type == "classification":
         if num:
-            # one long form, persisted; group stats frozen; only the tests the gates pick are computed
-            from pyspark import StorageLevel
-            from tabprobe.operators.profile import _freeze
-            lg = class_long(df, num, target).persist(StorageLevel.MEMORY_AND_DISK)
-            g = _freeze(_groups(lg))
-            n_kept = g.count()
-            ng = g.groupBy("column").agg(F.max("n_groups").alias("n_groups"))
-            lgk = lg.join(bounded_broadcast(g.select("column", "class"), n_kept), ["column", "class"], "left_semi")
-            gate = normality_gate(lgk, ["column", "class"]).join(_levene_p(lgk), "column", "left")
-            gate = _freeze(gate.select("column", "normal", F.coalesce(F.col("levene_p") > ALPHA, F.lit(False)).alias("eqv")))
-            chosen = {r["column"]: (r["n_groups"], bool(r["normal"]), bool(r["eqv"]))
-                      for r in ng.join(gate, "column", "left").collect()}
-            rank2 = [x for x, (k, nm, ev) in chosen.items() if k == 2 and not nm]
-            rankk = [x for x, (k, nm, ev) in chosen.items() if k > 2 and not (nm and ev)]
-            two = two_group_from(g)
-            an = _anova_from_groups(g).withColumn("p_value", p_f(F.col("f"), F.col("df1"), F.col("df2")))
-            mw = (mann_whitney_from(lgk.where(F.col("column").isin(*rank2)), g) if rank2 else
-                  spark.createDataFrame([], "column string, u double, p_value double"))
-            kw = (kruskal_from(lgk.where(F.col("column").isin(*rankk)), g) if rankk else
-                  spark.createDataFrame([], "column string, h double, p_value double, epsilon_squared double"))
-            mw, kw = _freeze(mw.select("column", "u", "p_value")), _freeze(kw.select("column", "h", "p_value", "epsilon_squared"))
-            lg.unpersist()
-            base = ng.join(gate, "column", "left")
+            # one table of class counts, persisted: medians, ranks and ties are all taken from it
+            lg = class_long(df, num, target)
+            g, gate, kept = _gated(lg)
+            base = _freeze(g.groupBy("column").agg(F.max("n_groups").alias("n_groups")).join(gate, "column", "left"))
+            chosen = {r["column"]: (r["n_groups"], bool(r["normal"]), bool(r["eqv"])) for r in base.collect()}
+            ranked = [x for x, (k, nm, ev) in chosen.items() if k >= 2 and not (nm and (ev or k == 2))]
+            rs = _freeze(rank_sums(kept.where(F.col("column").isin(*ranked)))) if ranked else spark.createDataFrame([], _RANK_SUMS)
+            kept.unpersist()
+            two, an = two_group_from(g), _anova_p(g)
+            mw, kw = mann_whitney_from(rs, g), kruskal_from(rs)
             j = (base.join(two.select("column", "t_student", "p_student", "t_welch", "p_welch", "cohens_d"), "column", "left")
                  .join(mw.select("column", F.col("u").alias("u_mw"), F.col("p_value").alias("p_mw")), "column", "left")
                  .join(an.select("column", "f", F.col("p_value").alias("p_an"), "eta_squared"), "column", "left")
@@ -613,7 +685,6 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
                 effect_metric=metric, n_groups=k, normality_assumption=normal, equal_variance_assumption=eqv,
                 skipped=F.when(k < 2, "insufficient_groups")))
         if cat:
-            from tabprobe.operators.profile import _freeze
             ch = _freeze(chi_square(df, cat, target))  # a row a feature
             parts.append(_rows(ch, feature=F.col("column"), test=F.lit("chi_square"), statistic=F.col("statistic"),
                                p_value=F.col("p_value"), effect_size=F.col("cramers_v"), effect_metric=F.lit("cramers_v"),
@@ -631,18 +702,13 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
             parts.append(_rows(pb, feature=F.col("column"), test=F.lit("point_biserial"), statistic=F.col("r"),
                                p_value=F.col("p_value"), effect_size=F.abs("r"), effect_metric=F.lit("point_biserial_r")))
         if rest:
-            from pyspark import StorageLevel
-            from tabprobe.operators.profile import _freeze
-            xy = _xy_long(df, rest, target).persist(StorageLevel.MEMORY_AND_DISK)
-            nx = normality_gate(xy.select("column", "value"), ["column"]).withColumnRenamed("normal", "xn")
-            ny = normality_gate(xy.select("column", F.col("y").alias("value")), ["column"]).withColumnRenamed("normal", "yn")
-            pe = pearson_from(xy).select("column", "r", F.col("p_value").alias("pp"))
-            y_rows = None
-            if all((info[x]["missing"] or 0) == 0 for x in rest):
-                y_rows = df.select(as_double(df, target).alias("y")).where(F.col("y").isNotNull())
-            sp = spearman_from(xy, y_rows=y_rows).select("column", "rho", F.col("p_value").alias("ps"))
-            j = _freeze(pe.join(sp, "column").join(nx, "column", "left").join(ny, "column", "left"))
-            xy.unpersist()
+            d = df.withColumn("__y", as_double(df, target)).where(F.col("__y").isNotNull())
+            missing = {x: info[x]["missing"] or 0 for x in rest}
+            m = _freeze(_pair_moments(_xy_long(df, rest, target)))  # a row a feature: r and both gates in one pass
+            pe = pearson_from_moments(m).select("column", "r", F.col("p_value").alias("pp"))
+            sp = spearman_test(d, rest, target, missing=missing).select("column", "rho", F.col("p_value").alias("ps"))
+            gates = _with_gate(_with_gate(m, "xn", "n", "x_g1", "x_g2"), "yn", "n", "y_g1", "y_g2").select("column", "xn", "yn")
+            j = _freeze(pe.join(sp, "column").join(gates, "column", "left"))
             both = F.coalesce(F.col("xn"), F.lit(False)) & F.coalesce(F.col("yn"), F.lit(False))
             stat = F.when(both, F.col("r")).otherwise(F.col("rho"))
             parts.append(_rows(j, feature=F.col("column"), test=F.when(both, "pearson").otherwise("spearman"),
@@ -655,27 +721,21 @@ def test_features(df: DataFrame, target: str, problem_type: str = "classificatio
         if cat:
             d = df.withColumn("__y", as_double(df, target))
             lg = label_long(d, cat, keep=["__y"]).where(F.col("value").isNotNull() & F.col("__y").isNotNull())
-            from pyspark import StorageLevel
-            from tabprobe.operators.profile import _freeze
-            lg = lg.select("column", F.col("value").alias("class"), F.col("__y").alias("value")).persist(
-                StorageLevel.MEMORY_AND_DISK)
-            g = _groups(lg)
-            lgk = lg.join(g.select("column", "class"), ["column", "class"], "left_semi")
-            gate = normality_gate(lgk, ["column", "class"]).join(_levene_p(lgk), "column", "left")
-            a, kw = _levels_vs_numeric(lgk, g)
+            g, gate, kept = _gated(lg.select("column", F.col("value").alias("class"), F.col("__y").alias("value")), frozen=False)
+            a, kw = _anova_p(g), kruskal_from(rank_sums(kept))
             ng = g.groupBy("column").agg(F.max("n_groups").alias("n_groups"))
             j = (ng.join(gate, "column", "left").join(a.select("column", "f", F.col("p_value").alias("pa"), "eta_squared"), "column", "left")
                  .join(kw.select("column", "h", F.col("p_value").alias("pk"), "epsilon_squared"), "column", "left"))
             j = _freeze(j)  # a row a feature
-            lg.unpersist()
-            use_a = F.coalesce("normal", F.lit(False)) & F.coalesce(F.col("levene_p") > ALPHA, F.lit(False))
+            kept.unpersist()
+            use_a = F.coalesce("normal", F.lit(False)) & F.coalesce("eqv", F.lit(False))
             parts.append(_rows(j, feature=F.col("column"), test=F.when(F.col("n_groups") < 2, None).when(use_a, "anova").otherwise("kruskal_wallis"),
                                statistic=F.when(use_a, F.col("f")).otherwise(F.col("h")),
                                p_value=F.when(use_a, F.col("pa")).otherwise(F.col("pk")),
                                effect_size=F.when(use_a, F.col("eta_squared")).otherwise(F.col("epsilon_squared")),
                                effect_metric=F.when(use_a, "eta_squared").otherwise("epsilon_squared"),
                                n_groups=F.col("n_groups"), normality_assumption=F.coalesce("normal", F.lit(False)),
-                               equal_variance_assumption=F.coalesce(F.col("levene_p") > ALPHA, F.lit(False)),
+                               equal_variance_assumption=F.coalesce("eqv", F.lit(False)),
                                skipped=F.when(F.col("n_groups") < 2, "insufficient_groups")))
     if skipped:
         parts.append(_rows(spark.createDataFrame(skipped, "feature string, skipped string"),
