@@ -19,7 +19,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabprobe.llm.common import salted_lookup, text_bytes, text_slices, written
@@ -386,6 +385,9 @@ def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     none = F.lit(-(2**63))
     chosen = found.where("stays").select(F.coalesce("doc_id", none).alias("__d"), F.col("h").alias("__h"),
                                          (F.col("n_shingles") == 0).alias("__wordless")).distinct()
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__h", F.xxhash64("text"))
-    ranked = keyed.join(chosen, ["__d", "__h"]).withColumn("__r", F.row_number().over(W.partitionBy("__d", "__h").orderBy(F.lit(0))))
-    return ranked.where("__wordless OR __r = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("__d"),
+                        F.xxhash64("text").alias("__h"))
+    # equal rows meet map-side, so that a hot group is one row a task; rows without words are told apart and all stay
+    own = F.when(F.col("__wordless"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    kept = keyed.join(chosen, ["__d", "__h"]).withColumn("__u", own).dropDuplicates(["__d", "__h", "__u"])
+    return kept.select("row.*")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabprobe.functions.joins import bounded_broadcast
-from tabprobe.llm.common import numbered
+from tabprobe.llm.common import numbered, written
 
 
 def tempered_weights(docs: DataFrame, power: float = 0.5, source: str = "source") -> DataFrame:
@@ -208,12 +208,15 @@ def pfair_mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ``source`` and others) sorted by the position of a Pfair mix: all rows, no new columns.
 
-    The mix is worked out on slim rows; texts move once to their positions and once to their place in the order.
+    The mix is worked out on slim rows; texts move to their number among equal rows, to their positions and to their place
+    in the order. Null ids, null and empty texts and equal rows are rows like others; columns may have any names.
     """
     none = F.lit(-(2**63))
     key = [F.coalesce(F.col("doc_id").cast("long"), none).alias("__d"), F.xxhash64("text").alias("__h")]
     slim = docs.select(*key, F.col("source")).withColumn("o", F.xxhash64("__d", "__h"))
-    mix = pfair_mix(slim, order="o", **options).groupBy("__d", "__h").agg(F.array_sort(F.collect_list("position")).alias("__at"))
-    copy = F.row_number().over(W.partitionBy("__d", "__h").orderBy(F.lit(0)))  # equal rows take their places in any order
-    placed = docs.select("*", *key).join(mix, ["__d", "__h"]).withColumn("__c", copy).withColumn("__p", F.expr("__at[__c - 1]"))
-    return placed.orderBy("__p").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mix = written(pfair_mix(slim, order="o", **options).select("__d", "__h", "position"), "mix")
+    # equal rows take their places in any order: both sides are numbered, and a row meets one place
+    places = numbered(mix, ["__d", "__h"], [F.col("position")], F.col("position"), "__i", buckets=16)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key, F.monotonically_increasing_id().alias("__u"))
+    rows = numbered(rows, ["__d", "__h"], [F.col("__u")], F.col("__u"), "__i", buckets=16)
+    return rows.join(places, ["__d", "__h", "__i"]).orderBy("position").select("row.*")

@@ -43,7 +43,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFra
 
     Null and empty items have none; an item without an id is matched and not listed.
     """
-    w = benchmark.select(F.col("item_id").alias("item_id"), words_of_text(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of_text(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1)))
     windows = w.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("words"))
     return windows.withColumn("phrase", F.array_join("words", " ")).groupBy("phrase").agg(
@@ -153,7 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
     joined = every.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("h2")), "left").join(
         near, F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("h") == F.col("h3")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    names = F.array_sort(F.transform(F.coalesce("item_ids", F.array().cast("array<bigint>")), lambda i: i.cast("string")))
+    names = F.array_sort(F.transform(F.coalesce("item_ids", F.array().cast("array<string>")), lambda i: i.cast("string")))
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
@@ -162,9 +162,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without contaminated rows (see ``decontaminate``)."""
+    """``docs`` without contaminated rows (see ``decontaminate``), all columns as they are.
+
+    Null and empty texts stay; equal rows stay or go together; an empty benchmark keeps all rows; columns may have any names.
+    """
     none = F.lit(-(2**63))
     bad = decontaminate(docs, benchmark, **options).where("contaminated").select(
         F.coalesce("doc_id", none).alias("__d"), F.col("h").alias("__h")).distinct()
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(bad, ["__d", "__h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("__d"),
+                        F.xxhash64(F.col("text").cast("string")).alias("__h"))
+    return keyed.join(bad, ["__d", "__h"], "left_anti").select("row.*")

@@ -183,21 +183,34 @@ def witnesses(sample: DataFrame, model: StringKernelModel, per_text: int) -> Dat
                 for k in range(n):
                     a, b = rows[k], rows[k + 1]
                     best: dict[bytes, float] = {}
-                    for j in a + np.argsort(-values[a:b], kind="stable")[:8 * per_text]:
-                        if len(best) < per_text:
-                            best.setdefault(words[j], float(values[j]))
-                    out += [{"toxic": toxic[k], "rank": r, "word": w[:200], "value": v} for r, (w, v) in enumerate(best.items())]
+                    for j in a + np.argsort(-values[a:b], kind="stable"):
+                        best.setdefault(words[j], float(values[j]))
+                        if len(best) == per_text:
+                            break
+                    out += [{"toxic": toxic[k], "rank": r, "word": w, "value": v} for r, (w, v) in enumerate(best.items())]
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("toxic", pa.int32()), ("rank", pa.int32()), ("word", pa.binary()), ("value", pa.float64())])
     return sample.mapInArrow(pick, "toxic int, rank int, word binary, value double")
 
 
-def choose_landmarks(counts: list, n_pos: int, n_neg: int, most: int, alike: float) -> list[bytes]:
-    """Words of toxic texts rather than others, by how many have them; none too alike one that is chosen."""
-    rated = [(r["pos"], r["word"]) for r in counts if r["pos"] * (n_neg + 1) >= 4 * (r["neg"] + 0.25) * (n_pos + 1)]
+def landmark_candidates(counts: DataFrame, n_pos: int, n_neg: int, least: int) -> DataFrame:
+    """``word, rating``: words that toxic texts have at least four times as often as others.
+
+    The rating is the log likelihood ratio of the word's texts against the shares of the labels (Dunning, 1993), so a word
+    of few toxic texts and no other stands before an ordinary one that a few more have.
+    """
+    pos, neg = F.col("pos"), F.col("neg")
+    share = n_pos / (n_pos + n_neg)
+    rated = counts.where((pos >= least) & (pos * (n_neg + 1) >= 4 * (neg + 0.25) * (n_pos + 1)))
+    gain = pos * F.log(pos / ((pos + neg) * share)) + F.when(neg > 0, neg * F.log(neg / ((pos + neg) * (1 - share)))).otherwise(0.0)
+    return rated.select("word", (2 * gain).alias("rating"))
+
+
+def choose_landmarks(words: list[bytes], most: int, alike: float) -> list[bytes]:
+    """The first ``most`` words that are not too alike one chosen before."""
     chosen: list[tuple[bytes, Counter, float]] = []
-    for _, word in sorted(rated, key=lambda x: (-x[0], x[1])):
+    for word in words:
         f = subsequences(bytes(word))
         own = kernel(f, f)
         if all(kernel(f, g) < alike * (own * o) ** 0.5 for _, g, o in chosen):
@@ -240,9 +253,11 @@ def logistic_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(sample: DataFrame, landmarks: int = 128, alike: float = 0.6, rounds: int = 3, c: float = 0.2) -> StringKernelModel:
+def train(sample: DataFrame, landmarks: int = 128, alike: float = 0.6, rounds: int = 3, c: float = 0.2, candidates: int = 20) -> StringKernelModel:
     """A model from a bounded sample ``text, toxic`` (0 or 1). With one label only, its score is that label throughout.
 
+    Landmarks are chosen from the ``candidates * landmarks`` best rated words of the sample's toxic texts.
+
     The driver gets the words that mark toxic texts, then a few witness words a sampled text: both bounded by the sample.
     """
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -251,8 +266,9 @@ def train(sample: DataFrame, landmarks: int = 128, alike: float = 0.6, rounds: i
         none.bias = 60.0 if sizes.get(1) else -60.0
         return none
     least = max(2, sizes[1] // 400)
-    counts = word_label_counts(sample).where(F.col("pos") >= least).orderBy(F.desc("pos"), "word").limit(20 * landmarks).collect()
-    marks = choose_landmarks(counts, sizes[1], sizes[0], landmarks, alike)
+    rated = landmark_candidates(word_label_counts(sample), sizes[1], sizes[0], least)
+    best = rated.orderBy(F.desc("rating"), "word").limit(candidates * landmarks).collect()
+    marks = choose_landmarks([bytes(r["word"]) for r in best], landmarks, alike)
     if not marks:
         none.shift = float(np.log(sizes[1] / sizes[0]))
         return none

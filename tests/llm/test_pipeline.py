@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -68,3 +69,30 @@ def test_stages_keep_columns_and_rows(spark):
                 bayes_dedup.without_near_copies(none), cp.shard_tokens(spark, none, SF)):
         assert out.count() == 0
     assert cp.shard_tokens(spark, df, SF).count() == len(rows())
+
+
+def test_order_survives_a_column_named_metadata(spark, tmp_path):
+    data = [(3, "c c"), (2, "b"), (1, "a a a")]
+    for extra in ([], ["7 AS _metadata"]):
+        path = str(tmp_path / f"docs{len(extra)}")
+        spark.createDataFrame(data, "doc_id long, text string").coalesce(1).selectExpr("*", *extra).write.parquet(path)
+        got = cp.shard_tokens(spark, spark.read.parquet(path), SF).orderBy("start").collect()
+        assert [r.doc_id for r in got] == [3, 2, 1]
+
+
+def test_mixing_many_equal_rows(spark):
+    data = [(None, "", "hot")] * 6000 + [(i, f"text {i}", "cold") for i in range(50)]
+    got = pfair.mixed_documents(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)).collect()
+    assert Counter(tuple(r) for r in got) == Counter(data)
+    near = bayes_dedup.without_near_copies(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    assert sum(r.doc_id is None for r in near) == 6000  # rows without words all stay
+
+
+def test_string_item_ids_and_an_empty_benchmark(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, "other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([("b-2", text), ("a-10", text), (None, text)], "item_id string, text string")
+    got = {r.doc_id: r for r in positional_index.decontaminate(docs, bench).collect()}
+    assert got[1].n_items == 2 and got[1].items_sha256 == hashlib.sha256(b"a-10,b-2").hexdigest() and not got[2].contaminated
+    assert [r.doc_id for r in positional_index.without_contaminated(docs, bench).collect()] == [2]
+    assert positional_index.without_contaminated(docs, bench.limit(0)).count() == 2

@@ -10,6 +10,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from tabprobe.llm import string_kernel as sk
 from tabprobe.llm.common import text_bytes
 from tests.llm.edge import documents, empty, prose, rows
@@ -111,3 +113,10 @@ def test_no_labels_and_empty(spark):
     assert sk.toxicity(empty(spark), none).count() == 0
     odd = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int").selectExpr("*", "'q' AS text", "1 AS word")
     assert sk.toxicity(documents(spark), odd).count() == len(rows())
+
+
+def test_landmarks_are_found_behind_frequent_words(spark):
+    counts = spark.createDataFrame([(f"common{i}".encode(), 300, 290) for i in range(50)] + [(b"insultword", 4, 0), (b"halfrare", 4, 1), (b"seldom", 1, 0)],
+                                   "word binary, pos long, neg long")
+    found = [bytes(r.word) for r in sk.landmark_candidates(counts, 352, 3000, 2).orderBy(F.desc("rating")).collect()]
+    assert found == [b"insultword", b"halfrare"]
