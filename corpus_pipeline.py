@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +42,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents in rANS shards, in the order in which ``docs`` was written, read back.
 
-    Rows that are not read from files have no such order; they are written by ``doc_id``.
+    Rows that are not read from files have no such order; they are written by ``doc_id``. A column of the documents may
+    be named as the hidden one that tells a row's place.
     """
-    try:
-        place = docs.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("__part"),
-                            F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
+    if not docs.inputFiles():
         return token_shards(docs)
+    place = docs.metadataColumn("_metadata")
+    place = docs.select("doc_id", "text", F.regexp_extract(place["file_name"], r"part-(\d+)", 1).cast("long").alias("__part"),
+                        place["file_name"].alias("__file"), place["row_index"].alias("__row"))
     return token_shards(place, order=[F.col("__part"), F.col("__file"), F.col("__row")])
 
 
