@@ -208,8 +208,7 @@ def pfair_mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ``source`` and others) sorted by the position of a Pfair mix: all rows, no new columns.
 
-    The mix is worked out on slim rows; texts move to their number among equal rows, to their positions and to their place
-    in the order. Null ids, null and empty texts and equal rows are rows like others; columns may have any names.
+    The mix is worked out on slim rows; texts move to their positions and to their place in the order. Null ids, null and empty texts and equal rows are rows like others; columns may have any names.
     """
     none = F.lit(-(2**63))
     key = [F.coalesce(F.col("doc_id").cast("long"), none).alias("__d"), F.xxhash64("text").alias("__h")]
@@ -217,6 +216,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     mix = written(pfair_mix(slim, order="o", **options).select("__d", "__h", "position"), "mix")
     # equal rows take their places in any order: both sides are numbered, and a row meets one place
     places = numbered(mix, ["__d", "__h"], [F.col("position")], F.col("position"), "__i", buckets=16)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key, F.monotonically_increasing_id().alias("__u"))
-    rows = numbered(rows, ["__d", "__h"], [F.col("__u")], F.col("__u"), "__i", buckets=16)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    many = written(mix.groupBy("__d", "__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__d", "__h"), "equal")
+    # the numbers of rows are fixed in a table before they are used twice
+    equal = written(rows.join(many, ["__d", "__h"], "left_semi").withColumn("__u", F.monotonically_increasing_id()), "equal-rows")
+    equal = numbered(equal, ["__d", "__h"], [F.col("__u")], F.col("__u"), "__i", buckets=16).drop("__u")
+    rows = rows.join(many, ["__d", "__h"], "left_anti").withColumn("__i", F.lit(0).cast("long")).unionByName(equal)
     return rows.join(places, ["__d", "__h", "__i"]).orderBy("position").select("row.*")

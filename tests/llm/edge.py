@@ -7,7 +7,7 @@ import random
 WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one".split()
 
 #: names that operators use inside
-CLASHING = ["key", "hub", "n", "slot", "weak", "uid", "row", "shard", "__b", "position", "window", "score", "words", "term", "band", "_metadata", "__d", "__h", "__p", "__i", "row"]
+CLASHING = ["key", "hub", "n", "slot", "weak", "uid", "row", "shard", "__b", "position", "window", "score", "words", "term", "band", "_metadata", "__d", "__h", "__p", "__i"]
 
 
 def prose(rng: random.Random, n: int) -> str:

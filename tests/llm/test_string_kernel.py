@@ -116,7 +116,7 @@ def test_no_labels_and_empty(spark):
 
 
 def test_landmarks_are_found_behind_frequent_words(spark):
-    counts = spark.createDataFrame([(f"common{i}".encode(), 300, 290) for i in range(50)] + [(b"insultword", 4, 0), (b"halfrare", 4, 1), (b"seldom", 1, 0)],
+    counts = spark.createDataFrame([(f"common{i}".encode(), 300, 2500) for i in range(50)] + [(b"insultword", 4, 0), (b"halfrare", 4, 1), (b"seldom", 1, 0)],
                                    "word binary, pos long, neg long")
     found = [bytes(r.word) for r in sk.landmark_candidates(counts, 352, 3000, 2).orderBy(F.desc("rating")).collect()]
     assert found == [b"insultword", b"halfrare"]
