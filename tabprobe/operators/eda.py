@@ -18,6 +18,7 @@ from tabprobe.functions.keyhash import key_hash
 from tabprobe.operators import profile as P
 from tabprobe.operators import quality as Q
 from tabprobe.operators import ranks
+from tabprobe.operators.selection import bracketed_wide
 from tabprobe.operators.longform import label_long, numeric_long
 
 # fixed thresholds of the reference's insight rules
@@ -93,8 +94,7 @@ def density_curve(df: DataFrame, cols: Sequence[str], points: int = 200, grid_bi
 
 def _box(long_df: DataFrame, g: Sequence[str], rows_per_bucket: int) -> DataFrame:
     """Quartiles, whiskers and outlier count of ``value`` per group ``g``."""
-    qs = ranks.quantiles_wide(long_df, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group_cols=g,
-                              rows_per_bucket=rows_per_bucket)
+    qs = bracketed_wide(long_df, {"q1": 0.25, "median": 0.5, "q3": 0.75}, g, rows_per_bucket=rows_per_bucket)
     iqr = F.col("q3") - F.col("q1")
     qb = qs.select(*g, "q1", "median", "q3", (F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))
     v = F.col("value")

@@ -201,6 +201,29 @@ def semantic_types(df: DataFrame, cols: Sequence[str] | None = None, target: str
 
 # ── numeric profile from counts ───────────────────────────────────────────────
 
+def row_stats(df: DataFrame, cols: Sequence[str], rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
+    """As ``numeric_stats``, straight from the rows: moments in one map-side aggregation, quartiles by bracketed selection.
+
+    No column's values are shuffled, however many distinct ones it has. Returns a small frozen DataFrame.
+    """
+    from tabprobe.operators.selection import bracketed_wide
+
+    v = F.col("value")
+    lg = numeric_long(df, cols).where(v.isNotNull())
+    a1 = _freeze(lg.groupBy("column").agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(v == 0).alias("zeros"),
+        F.count_if(v < 0).alias("negatives"), F.var_samp(v).alias("variance"), F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("sd_pop"),
+        F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2")))
+    qs = bracketed_wide(lg, {"q1": 0.25, "median": 0.5, "q3": 0.75}, rows_per_bucket=rows_per_bucket)
+    base = _freeze(a1.join(qs, "column", "left"))
+    iqr = F.col("q3") - F.col("q1")
+    bounds = base.select("column", "mean", "sd_pop", (F.col("q1") - 1.5 * iqr).alias("lower"), (F.col("q3") + 1.5 * iqr).alias("upper"))
+    outl = lg.join(bounded_broadcast(bounds, len(cols)), "column").groupBy("column").agg(
+        F.count_if((v < F.col("lower")) | (v > F.col("upper"))).alias("iqr_out"),
+        F.count_if((F.col("sd_pop") > 0) & (F.abs(v - F.col("mean")) > 3 * F.col("sd_pop"))).alias("z_out"))
+    return _freeze(base.join(outl, "column", "left"))
+
+
 def numeric_stats(nvc: DataFrame, rows_per_bucket: int = ranks.ROWS_PER_BUCKET) -> DataFrame:
     """Per column n, mean, std, var, min, max, g1, g2, sd_pop, zeros, negatives, q1, median, q3, outlier counts.
 
@@ -243,19 +266,22 @@ def shapiro_by_group(long_df: DataFrame, group_cols: Sequence[str], sample: int
                      seed: int = 42, sizes: DataFrame | None = None, n_groups: int = 0) -> DataFrame:
     """``(group..., sw_stat, sw_p)`` on a seeded ≤ ``sample``-row sample per group.
 
-    The sample is a row_number ≤ k window (planned as a WindowGroupLimit, so only
+    Rows are drawn by a hash of their value and their number among equal values, so the draw is the same however the rows
+    are stored or split. The sample is a row_number ≤ k window (planned as a WindowGroupLimit, so only
     k rows per group and map task are shuffled); the test runs in one bounded
     ``applyInPandas`` group.
     """
     group_cols = list(group_cols)
-    u = long_df.where(F.col("value").isNotNull()).withColumn("__u", F.rand(seed))
+    counts = ranks.value_counts(long_df, group_cols)
+    u = counts.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t")))).drop("t")
+    u = u.withColumn("__u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "value", "__i"), 11) / F.lit(float(1 << 53)))
     if sizes is not None:
         # Bernoulli pre-filter at ~4× the sample size per group: the k smallest keys survive it (unless
         # fewer than k pass, which is vanishingly rare), so the sample is unchanged but the sort is small.
         fr = sizes.select(*group_cols, F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n")).alias("__frac"))
         u = (u.join(bounded_broadcast(fr, n_groups), group_cols, "left")
              .where(F.col("__u") < F.coalesce(F.col("__frac"), F.lit(1.0))).drop("__frac"))
-    w = Window.partitionBy(*group_cols).orderBy("__u")
+    w = Window.partitionBy(*group_cols).orderBy("__u", "value", "__i")
     samp = u.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= sample)
     schema = T.StructType([long_df.schema[g] for g in group_cols]
                           + [T.StructField("sw_stat", T.DoubleType()), T.StructField("sw_p", T.DoubleType())])
@@ -269,8 +295,8 @@ def shapiro_by_group(long_df: DataFrame, group_cols: Sequence[str], sample: int
     return samp.select(*group_cols, "value").groupBy(*group_cols).applyInPandas(run, schema)
 
 
-def _numeric_profile(df: DataFrame, nvc: DataFrame, rows_per_bucket: int, with_shapiro: bool) -> DataFrame:
-    res = numeric_stats(nvc, rows_per_bucket)
+def _numeric_profile(df: DataFrame, res: DataFrame, with_shapiro: bool) -> DataFrame:
+    """The finished numeric profile from ``numeric_stats`` or ``row_stats``."""
     small = [r["column"] for r in res.select("column", "n").collect()
              if NORMALITY_MIN_N <= (r["n"] or 0) <= SHAPIRO_MAX_N]
     if with_shapiro and small:
@@ -284,11 +310,7 @@ def _numeric_profile(df: DataFrame, nvc: DataFrame, rows_per_bucket: int, with_s
 def numeric_summary(df: DataFrame, cols: Sequence[str], rows_per_bucket: int = ranks.ROWS_PER_BUCKET,
                     with_shapiro: bool = True) -> DataFrame:
     """B4–B10 for numeric columns: one row per column (values rounded as the reference reports them)."""
-    nvc = numeric_counts(df, cols).persist(_LEVEL)
-    try:
-        return _freeze(_numeric_profile(df, nvc, rows_per_bucket, with_shapiro))
-    finally:
-        nvc.unpersist()
+    return _freeze(_numeric_profile(df, row_stats(df, cols, rows_per_bucket), with_shapiro))
 
 
 def finish_numeric(res: DataFrame) -> DataFrame:
@@ -432,7 +454,7 @@ def profile_columns(df: DataFrame, target: str | None = None, rows_per_bucket: i
         parts = []
         if num:
             nvc = counts.vc["numeric"].where(F.col("column").isin(*num))
-            parts.append(_numeric_profile(df, nvc, rows_per_bucket, with_shapiro))
+            parts.append(_numeric_profile(df, numeric_stats(nvc, rows_per_bucket), with_shapiro))
         cat_parts = []
         if cat_s:
             cat_parts.append(counts.vc["string"].where(F.col("column").isin(*cat_s) & F.col("value").isNotNull())
