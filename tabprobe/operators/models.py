@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import as_double, as_label, c, r4
 from tabprobe.functions.joins import bounded_broadcast
-from tabprobe.functions.keyhash import is_test, row_key
+from tabprobe.functions.keyhash import MOD, is_test, key_hash, row_key
 
 # fixed values of the reference's rules
 TEST_PCT = 20
@@ -33,6 +33,36 @@ def split(df: DataFrame, key: Sequence[str], test_pct: int = TEST_PCT) -> DataFr
     return df.withColumn("is_test", is_test(row_key(key), test_pct))
 
 
+def class_ranks(df: DataFrame, key: Sequence[str], target: str, buckets: int = 1024) -> DataFrame:
+    """``df`` with ``class_row``, ``class_n``: the row's place (from 0) in its class by key hash, and the class's rows.
+
+    The hash is cut into ``buckets`` ranges; rows are numbered in (class, range) and moved on by the sizes of the ranges
+    before, so no task holds a class. A NULL target is a class of its own; equal keys are numbered in any order.
+    """
+    h = key_hash(row_key(key))
+    d = df.withColumn("__k", as_label(df, target)).withColumn("__h", h).withColumn("__b", F.floor(h * buckets / MOD).cast("int"))
+    d = d.withColumn("__key", row_key(key)).withColumn("__none", F.col("__k").isNull()).withColumn("__k", F.coalesce("__k", F.lit("")))
+    sizes = d.groupBy("__none", "__k", "__b").agg(F.count("*").alias("__n"))
+    mine = Window.partitionBy("__none", "__k")
+    before = F.coalesce(F.sum("__n").over(mine.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__none", "__k", "__b", before.alias("__off"), F.sum("__n").over(mine).alias("class_n"))
+    place = F.row_number().over(Window.partitionBy("__none", "__k", "__b").orderBy("__h", "__key"))
+    out = d.withColumn("__at", place).join(sizes, ["__none", "__k", "__b"])
+    return out.select(*[c(x) for x in df.columns], (F.col("__off") + F.col("__at") - 1).alias("class_row"), "class_n")
+
+
+def stratified_split(df: DataFrame, key: Sequence[str], target: str, test_pct: int = TEST_PCT) -> DataFrame:
+    """G1, stratified: ``is_test`` for the first round(n · test_pct / 100) rows of each class by key hash."""
+    r = class_ranks(df, key, target)
+    return r.withColumn("is_test", F.col("class_row") < F.floor((F.col("class_n") * test_pct + 50) / 100)).drop("class_row", "class_n")
+
+
+def stratified_folds(df: DataFrame, key: Sequence[str], target: str, k: int = 3) -> DataFrame:
+    """H2, stratified: ``fold`` 0 to k − 1, each with its share of every class to one row."""
+    r = class_ranks(df, key, target)
+    return r.withColumn("fold", F.floor(F.col("class_row") * k / F.col("class_n")).cast("int")).drop("class_row", "class_n")
+
+
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Class counts, minority/majority ratio and the primary metric it implies."""
     cnt = df.where(c(target).isNotNull()).groupBy(as_label(df, target).alias("class")).agg(F.count("*").alias("count"))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
+                                       MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.keyhash import fold_of, row_key
 from tabprobe.operators import models as M
+from tabprobe.operators.naive_bayes import GaussianNB
 
 # ── fixed search spaces (ranges as the reference defines them) ────────────────
 # ("cat", choices) | ("int", low, high, step) | ("float", low, high, log)
@@ -116,7 +117,7 @@ def build_estimator(family: str, p: dict, n_train: int, k: int):
         svc = LinearSVC(regParam=1.0 / (p["C"] * max(n_train, 1)), maxIter=100, standardization=False)
         return OneVsRest(classifier=svc) if k > 2 else svc
     if family == "gaussian_nb":
-        return NaiveBayes(modelType="gaussian", smoothing=1.0)
+        return GaussianNB(var_smoothing=p["var_smoothing"])
     if family.startswith("decision_tree"):
         cls = DecisionTreeClassifier if family.endswith("classifier") else DecisionTreeRegressor
         return cls(maxDepth=min(depth(p["max_depth"]), SPARK_MAX_DEPTH), minInstancesPerNode=int(p["min_samples_leaf"]), seed=42)
@@ -167,6 +168,8 @@ def _fit_predict(est, train: DataFrame, test: DataFrame, k: int, n_features: int
         layers = [n_features, *p["hidden_layer_sizes"], k]
         est = MultilayerPerceptronClassifier(layers=layers, stepSize=p["learning_rate_init"], solver="gd",
                                              maxIter=100, seed=42)
+    if isinstance(est, GaussianNB):
+        return GaussianNB(est.var_smoothing, weight=weight).fit(train).transform(test)
     if weight and est.hasParam("weightCol"):
         est = est.copy().setWeightCol(weight)
     return est.fit(train).transform(test)
@@ -183,14 +186,18 @@ def run_trials(prepared: DataFrame, features: Sequence[str], target: str, key: S
     """H3: family × strategy × trial → mean CV score and holdout score; failures are logged, not raised.
 
     ``prepared`` holds the prepared features and ``is_test``. Fold frames are
-    cached once; fits run from a small driver thread pool, as CrossValidator does.
+    cached once; folds hold their share of each class; fits run from a small driver thread pool, as CrossValidator does.
     """
     spark = prepared.sparkSession
     classes = M.label_index(prepared.where(~F.col("is_test")), target) if problem_type == "classification" else None
     kk = len(classes) if classes else 1
-    d = M.assemble(M.with_label(cv_folds(prepared, key, k), target, classes), features).select(
+    folded = cv_folds(prepared, key, k)
+    if classes:  # folds of training rows hold their share of each class
+        held = prepared.where(F.col("is_test")).withColumn("fold", F.lit(0))
+        folded = M.stratified_folds(prepared.where(~F.col("is_test")), key, target, k).unionByName(held)
+    d = M.assemble(M.with_label(folded, target, classes), features).select(
         "features", "label", "fold", "is_test", *([target] if problem_type == "classification" else []))
-    train_all = d.where(~F.col("is_test")).cache()
+    train_all = unweighted = d.where(~F.col("is_test")).cache()
     test = d.where(F.col("is_test"))
     n_train = train_all.count()
     metric, ratio = "r2", None
@@ -225,6 +232,7 @@ def run_trials(prepared: DataFrame, features: Sequence[str], target: str, key: S
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(run, jobs))
     train_all.unpersist()
+    unweighted.unpersist()
     return spark.createDataFrame(rows, "model_id string, strategy string, trial_index int, metric string, "
                                        "cv_score double, holdout_score double, params map<string,string>, error string")
 

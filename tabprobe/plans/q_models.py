@@ -11,6 +11,7 @@ from tabprobe.operators import models as M
 from tabprobe.operators import profile as P
 from tabprobe.operators import stats as S
 from tabprobe.operators import tuning as H
+from tabprobe.operators.naive_bayes import GaussianNB
 from tabprobe.plans.registry import register
 from tabprobe.plans.signals import measured_signals
 from tabprobe.session import ensure_checkpoint_dir
@@ -49,6 +50,45 @@ def g1_split(spark, sf):
     return M.split(table(spark, sf, "orders"), ["o_orderkey"]).select("o_orderkey", "is_test")
 
 
+_RANKED = (f"SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {sql_hash('o_orderkey')}, o_orderkey) - 1 AS r, "
+           "count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders")
+
+
+@register("g1_stratified_split", f"SELECT o_orderkey, r < (n * 20 + 50) // 100 AS is_test FROM ({_RANKED})")
+def g1_stratified_split(spark, sf):
+    """A fifth of each order status, to one row."""
+    return M.stratified_split(table(spark, sf, "orders"), ["o_orderkey"], "o_orderstatus").select("o_orderkey", "is_test")
+
+
+@register("h2_stratified_folds", f"SELECT o_orderkey, CAST(r * 3 // n AS INTEGER) AS fold FROM ({_RANKED})")
+def h2_stratified_folds(spark, sf):
+    return M.stratified_folds(table(spark, sf, "orders"), ["o_orderkey"], "o_orderstatus", 3).select("o_orderkey", "fold")
+
+
+_NB_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NB_TRAIN = f"NOT {sql_is_test('l_orderkey')}"
+_NB_STATS = ", ".join(f"avg(CAST({x} AS DOUBLE)) AS m{i}, var_pop(CAST({x} AS DOUBLE)) AS v{i}" for i, x in enumerate(_NB_FEATURES))
+_NB_SCORE = "ln(n / (SELECT sum(n) FROM f)) - " + " - ".join(
+    f"0.5 * (ln(2 * pi() * (v{i} + e)) + (CAST({x} AS DOUBLE) - m{i}) * (CAST({x} AS DOUBLE) - m{i}) / (v{i} + e))" for i, x in enumerate(_NB_FEATURES))
+
+
+@register("i_gaussian_nb", f"""
+WITH f AS (SELECT l_returnflag AS label, count(*) AS n, {_NB_STATS} FROM lineitem WHERE {_NB_TRAIN} GROUP BY 1),
+     w AS (SELECT 1e-9 * greatest({", ".join(f"var_pop(CAST({x} AS DOUBLE))" for x in _NB_FEATURES)}) AS e FROM lineitem WHERE {_NB_TRAIN}),
+     t AS (SELECT *, row_number() OVER () AS i FROM lineitem WHERE {sql_is_test('l_orderkey')}),
+     s AS (SELECT i, l_orderkey, l_linenumber, label, {_NB_SCORE} AS score FROM t, f, w)
+SELECT l_orderkey, l_linenumber, arg_max(label, score) AS prediction FROM s GROUP BY i, l_orderkey, l_linenumber""")
+def i_gaussian_nb(spark, sf):
+    """Gaussian naive Bayes of the return flag on four numbers, fitted on training orders, for all held-out lines."""
+    df = M.split(table(spark, sf, "lineitem"), ["l_orderkey"])
+    train = df.where(~F.col("is_test"))
+    classes = M.label_index(train, "l_returnflag")
+    d = M.with_label(df, "l_returnflag", classes).withColumn("features", F.array(*[F.col(x).cast("double") for x in _NB_FEATURES]))
+    out = GaussianNB().fit(d.where(~F.col("is_test"))).transform(d.where(F.col("is_test")))
+    name = F.element_at(F.array(*[F.lit(x) for x in classes]), F.col("prediction").cast("int") + 1)
+    return out.select("l_orderkey", "l_linenumber", name.alias("prediction"))
+
+
 @register("g2_class_balance", fixture_cte("fx_quality") + """
 SELECT class, count, round(CAST(min(count) OVER () AS DOUBLE) / max(count) OVER (), 4) AS ratio,
        CASE WHEN CAST(min(count) OVER () AS DOUBLE) / max(count) OVER () < 0.35 THEN 'f1_weighted' ELSE 'accuracy' END AS metric
@@ -201,7 +241,7 @@ def g16_feature_importance(spark, sf):
     out, model, _ = prepared(spark, sf, "fx_status", "o_orderstatus", "o_orderkey", "classification")
     classes = M.label_index(out, "o_orderstatus")
     d = M.assemble(M.with_label(out, "o_orderstatus", classes), model.columns)
-    tree = M.classifier_candidates(1, False, 0)["decision_tree"].fit(d)
+    tree = M.classifier_candidates(d.count(), False, 0)["decision_tree"].fit(d)
     return M.feature_importance(tree, model.columns, spark)
 
 

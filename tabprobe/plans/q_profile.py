@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.operators import profile as P
 from tabprobe.operators import quality as Q
+from tabprobe.operators import sketches as K
 from tabprobe.plans.registry import register
 from tabprobe.plans.sqlgen import dbl, lit, per_column, profile_ctes, qi
 from tabprobe.sources.tables import fixture, fixture_cte, table
@@ -53,6 +54,21 @@ def b3_cardinality(spark, sf):
     return P.semantic_types(fixture(spark, sf, "fx_nulls")).select("column", "cardinality")
 
 
+_SKETCHED = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag"]
+
+
+@register("b3_distinct_sketch", " UNION ALL ".join(
+    f"SELECT '{x}' AS \"column\", count(DISTINCT {x}) AS n_distinct, count({x}) AS n, true AS within FROM lineitem" for x in _SKETCHED))
+def b3_distinct_sketch(spark, sf):
+    """Distinct counts from sketches made for each line status and merged, against the exact ones: off by 4 standard errors at most."""
+    df = table(spark, sf, "lineitem")
+    told = K.distinct_estimates(K.merged_states(K.distinct_states(df, _SKETCHED, by="l_linestatus")))
+    exact = df.agg(*[F.countDistinct(x).alias(x) for x in _SKETCHED])
+    pairs = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).alias("n_distinct")) for x in _SKETCHED])
+    off = F.abs(F.col("approx_distinct") - F.col("n_distinct")) <= 4 * 1.04 / 2 ** (K.LG_K / 2) * F.col("n_distinct") + 1
+    return told.join(exact.select(F.inline(pairs)), "column").select("column", "n_distinct", "n", off.alias("within"))
+
+
 # ── B4–B10 numeric ────────────────────────────────────────────────────────────
 
 def _b4(src, col):
