@@ -156,7 +156,9 @@ def residual_table(pred: DataFrame, key: str, label: str = "label", prediction:
 # ── estimators ────────────────────────────────────────────────────────────────
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+    plain = [f"__f{i}" for i in range(len(features))]  # the assembler can't read names with dots
+    d = df.withColumns({p: c(x) for p, x in zip(plain, features, strict=True)})
+    return VectorAssembler(inputCols=plain, outputCol=out, handleInvalid="keep").transform(d).drop(*plain)
 
 
 def label_index(train: DataFrame, target: str) -> list[str]:
