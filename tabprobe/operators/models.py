@@ -178,9 +178,9 @@ def with_label(df: DataFrame, target: str, classes: Sequence[str] | None) -> Dat
 
 
 def classifier_candidates(n_train: int, high_dim: bool, n_significant: int) -> dict:
-    """Logistic regression, ridge classifier (least squares on ±1, one-vs-rest), a small tree."""
+    """The most frequent class, logistic regression, ridge classifier (least squares on ±1, one-vs-rest), a small tree."""
     # penalty 1 / (C·n) with C = 1
-    c = {"logistic_regression": LogisticRegression(maxIter=200, regParam=1.0 / max(n_train, 1), standardization=False),
+    c = {"dummy": "dummy", "logistic_regression": LogisticRegression(maxIter=200, regParam=1.0 / max(n_train, 1), standardization=False),
          "ridge_classifier": "ridge_ovr",
          "decision_tree": DecisionTreeClassifier(maxDepth=TREE_DEPTH, minInstancesPerNode=TREE_LEAF, seed=42)}
     if high_dim and n_significant >= 8:
@@ -189,8 +189,8 @@ def classifier_candidates(n_train: int, high_dim: bool, n_significant: int) -> d
 
 
 def regressor_candidates(n_train: int, high_dim: bool) -> dict:
-    """Linear, ridge (α/n), lasso, small tree (if not high-dimensional)."""
-    c = {"linear_regression": LinearRegression(regParam=0.0),
+    """The mean, linear, ridge (α/n), lasso, small tree (if not high-dimensional)."""
+    c = {"dummy": "dummy", "linear_regression": LinearRegression(regParam=0.0),
          "ridge": LinearRegression(regParam=RIDGE_ALPHA / max(n_train, 1), elasticNetParam=0.0, standardization=False),
          "lasso": LinearRegression(regParam=LASSO_ALPHA, elasticNetParam=1.0, standardization=False)}
     if not high_dim:
@@ -223,6 +223,12 @@ def _ridge_ovr_predict(models, df: DataFrame, k: int) -> DataFrame:
 
 def fit_predict(est, train: DataFrame, test: DataFrame, k: int | None = None, weight: str | None = None) -> DataFrame:
     """Fit one candidate on ``train`` (assembled), return ``test`` with a ``prediction`` column."""
+    if est == "dummy":
+        known = train.where(F.col("label").isNotNull())
+        if k:
+            best = known.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+            return test.withColumn("prediction", F.lit(best["label"] if best else None).cast("double"))
+        return test.withColumn("prediction", F.lit(known.agg(F.avg("label")).first()[0]).cast("double"))
     if est == "ridge_ovr":
         models = _ridge_ovr_fit(train, k or 2, RIDGE_ALPHA, weight)
         return _ridge_ovr_predict(models, test, k or 2)
@@ -281,6 +287,26 @@ def baseline_leaderboard(prepared: DataFrame, features: Sequence[str], target: s
     return lb, summary
 
 
+def refit_and_predict(prepared: DataFrame, rows: DataFrame, features: Sequence[str], target: str, problem_type: str, summary: dict,
+                      n_significant: int = 0) -> DataFrame:
+    """The leaderboard's winner refitted on all of ``prepared``; ``rows`` with ``prediction`` (a class label, or a number).
+
+    ``summary`` is what ``baseline_leaderboard`` returns: it names the winner and whether its rows are weighted.
+    """
+    classes = label_index(prepared, target) if problem_type == "classification" else None
+    train, new = (assemble(with_label(d, target, classes), features) for d in (prepared, rows))
+    n = train.count()
+    ctx = model_context(n, len(features), n_significant, problem_type)
+    if classes is None:
+        return fit_predict(regressor_candidates(n, ctx["high_dimensional"])[summary["best_model"]], train, new).drop("features", "label")
+    weight = "weight" if summary["strategy"] == "balanced" else None
+    train = balanced_weights(train, target) if weight else train
+    cands = {**classifier_candidates(n, False, 0)}
+    pred = fit_predict(cands[summary["best_model"]], train, new, len(classes), weight)
+    name = F.element_at(F.array(*[F.lit(x) for x in classes]), F.col("prediction").cast("int") + 1)
+    return pred.withColumn("prediction", name).drop("features", "label", "rawPrediction", "probability")
+
+
 def imbalance_comparison(leaderboard: DataFrame) -> DataFrame:
     """Best unweighted vs best balanced score and the chosen strategy."""
     b = leaderboard.where(F.col("score").isNotNull()).groupBy("strategy").agg(

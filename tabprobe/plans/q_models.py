@@ -247,14 +247,11 @@ def g16_feature_importance(spark, sf):
 
 @register("g17_refit_and_predict")
 def g17_refit_and_predict(spark, sf):
-    """Refit the best baseline family on all training rows, score held-out rows, write id + prediction."""
+    """The leaderboard's winner on fx_status, refitted on all training rows: id and prediction of every held-out row."""
     out, model, _ = prepared(spark, sf, "fx_status", "o_orderstatus", "o_orderkey", "classification")
-    classes = M.label_index(out.where(~F.col("is_test")), "o_orderstatus")
-    d = M.assemble(M.with_label(out, "o_orderstatus", classes), model.columns)
-    est = M.classifier_candidates(1, False, 0)["logistic_regression"]
-    pred = M.fit_predict(est, d.where(~F.col("is_test")), d.where(F.col("is_test")), len(classes))
-    lab = F.element_at(F.array(*[F.lit(x) for x in classes]), F.col("prediction").cast("int") + 1)
-    return pred.select("o_orderkey", lab.alias("prediction"))
+    _, summary = _leaderboard(spark, sf, "fx_status", "o_orderstatus", "o_orderkey")
+    pred = M.refit_and_predict(out.where(~F.col("is_test")), out.where(F.col("is_test")), model.columns, "o_orderstatus", "classification", summary)
+    return pred.select("o_orderkey", "prediction")
 
 
 @register("g18_gain_over_baseline")

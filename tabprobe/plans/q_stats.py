@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.columns import r4
 from tabprobe.operators import stats as S
+from tabprobe.plans.q_profile import k2_sql
 from tabprobe.plans.registry import register
 from tabprobe.plans.sqlgen import lit, per_column, qi
 from tabprobe.sources.tables import fixture, fixture_cte
@@ -312,7 +313,11 @@ def e21_mutual_information(spark, sf):
 
 
 # E2, E22–E25 (normality gate on samples → rows-only) ────────────────────────
-@register("e2_normality_gate")
+@register("e2_normality_gate", STA + """,
+shape AS (SELECT col, class, CAST(count(x) AS DOUBLE) AS n, skewness(x) * (count(x) - 2) / sqrt(CAST(count(x) AS DOUBLE) * (count(x) - 1)) AS g1,
+                 kurtosis_pop(x) AS g2 FROM lg0 GROUP BY col, class),
+""" + k2_sql("shape") + """
+SELECT col AS "column", bool_and(n >= 8 AND coalesce(NOT isnan(k2) AND exp(-k2 / 2) > 0.05, false)) AS normal FROM k2 GROUP BY col""")
 def e2_normality_gate(spark, sf):
     df = fixture(spark, sf, "fx_status")
     lg = S.class_long(df, STATUS_NUM, "o_orderstatus")
