@@ -121,21 +121,17 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-#: Powers of a base kept between batches, at most so many.
-_KEPT = 1 << 23
-_KNOWN: dict[int, np.ndarray] = {}
-
-
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    known = _KNOWN.get(int(base))
-    if known is not None and n <= len(known):
-        return known[:n]
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    out = np.multiply.accumulate(out)
-    if n <= _KEPT:
-        _KNOWN[int(base)] = out
-    return out
+    """base ** 0, 1, ..., n - 1: the products of a row of small powers and a column of large ones."""
+    def run(b: np.uint64, size: int) -> np.ndarray:
+        out = np.full(size, b, np.uint64)
+        out[:1] = 1
+        return np.multiply.accumulate(out)
+
+    step = min(max(n, 1), 1 << 12)
+    small = run(base, step)
+    large = run(small[-1] * base, -(-n // step))
+    return np.multiply.outer(large, small).reshape(-1)[:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

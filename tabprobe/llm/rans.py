@@ -195,7 +195,7 @@ class SplitTokenizer:
     ids are those of its units. Units are told apart by two independent 64-bit hashes.
     """
 
-    def __init__(self, path: str, max_known: int = 2_000_000):
+    def __init__(self, path: str, max_known: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
