@@ -529,6 +529,40 @@ def significance_buckets(ranked: DataFrame) -> DataFrame:
         (F.coalesce(F.col("expected_freq_assumption_ok"), F.lit(True)) == F.lit(False)).alias("warn_low_expected"))
 
 
+#: More features than this losing significance is worth a warning (fixed value of the reference's rules).
+MOST_LOST = 3
+
+
+def stats_warnings(ranked: DataFrame, signals: DataFrame, collinear: DataFrame | None = None) -> DataFrame:
+    """``code, feature, other, value``, a row a warning.
+
+    ``none_significant``; ``lost_after_fdr`` (value: how many, over ``MOST_LOST``); ``nonlinear`` (high information, little
+    linear effect); ``low_expected`` (value: % of cells with expected counts under 5); ``negligible_but_significant``;
+    ``collinear`` (value: Spearman's rho of the pair). ``ranked`` is from ``rank_features``, ``signals`` from
+    ``fe_signals``, ``collinear`` from ``spearman_collinearity``. Counts over no features are 0, so an empty table warns once.
+    """
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, code: str, feature: F.Column = none, other: F.Column = none, value: F.Column | None = None) -> DataFrame:
+        number = F.lit(None) if value is None else value
+        return df.select(F.lit(code).alias("code"), feature.alias("feature"), other.alias("other"), number.cast("double").alias("value"))
+
+    name = F.col("feature")
+    total = ranked.agg(F.count_if("significant").alias("s"), F.count_if(F.coalesce("significant_after_fdr", F.lit(False))).alias("f"))
+    lost = F.col("s") - F.col("f")
+    parts = [rows(total.where(F.col("s") == 0), "none_significant"),
+             rows(total.where(lost > MOST_LOST), "lost_after_fdr", value=lost),
+             rows(signals.where("nonlinear"), "nonlinear", name),
+             rows(ranked.where(F.col("expected_freq_assumption_ok") == F.lit(False)), "low_expected", name, value=F.col("pct_cells_low_expected")),
+             rows(ranked.where((F.col("effect_label") == "negligible") & (F.col("p_value") < ALPHA)), "negligible_but_significant", name)]
+    if collinear is not None:
+        parts.append(rows(collinear, "collinear", F.col("col_a"), F.col("col_b"), F.col("rho")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ── E2 + E25: normality gate and the per-feature router ───────────────────────
 
 def normality_gate(lg: DataFrame, group_cols: Sequence[str], shapiro_sample: int | None = None) -> DataFrame:

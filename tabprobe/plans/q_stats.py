@@ -352,6 +352,15 @@ def e22_fe_signals(spark, sf):
     return S.fe_signals(_ranked(spark, sf), ["event_type"])
 
 
+@register("e24_warnings")
+def e24_warnings(spark, sf):
+    """All six kinds of warnings over the tests, signals and Spearman pairs of fx_signal."""
+    df, ranked = fixture(spark, sf, "fx_signal"), _ranked(spark, sf)
+    ranked = spark.createDataFrame(ranked.collect(), ranked.schema)  # a row a feature
+    pairs = S.spearman_collinearity(df, ["event_id", "user_id", "value", "mixed"])
+    return S.stats_warnings(ranked, S.fe_signals(ranked, ["event_type"]), pairs)
+
+
 @register("e24_significance_buckets")
 def e24_significance_buckets(spark, sf):
     return S.significance_buckets(_ranked(spark, sf))

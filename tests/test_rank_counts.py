@@ -86,3 +86,17 @@ def test_chi_square_of_unique_texts_has_no_grid(spark):
     r = S.chi_square(df, ["t"], "k").first()
     assert r.statistic == pytest.approx(20_000 * 49) and r.dof == 19_999 * 49 and r.pct_cells_low_expected == 100
     assert S.contingency(df, ["t"], "k").count() == 20_000
+
+
+def test_warnings(spark):
+    schema = "feature string, significant boolean, significant_after_fdr boolean, effect_label string, p_value double, expected_freq_assumption_ok boolean, pct_cells_low_expected double"
+    rows = [(f"lost{i}", True, False, "small", 0.04, None, None) for i in range(4)]
+    rows += [("tiny", True, True, "negligible", 1e-9, None, None), ("thin", False, False, "small", 0.5, False, 40.0), ("bent", False, False, "small", 0.6, True, 0.0)]
+    ranked = spark.createDataFrame(rows, schema)
+    signals = spark.createDataFrame([("bent", True), ("thin", False)], "feature string, nonlinear boolean")
+    pairs = spark.createDataFrame([("a", "b", 50, 0.91)], "col_a string, col_b string, n long, rho double")
+    got = {tuple(r) for r in S.stats_warnings(ranked, signals, pairs).collect()}
+    assert got == {("lost_after_fdr", None, None, 4.0), ("nonlinear", "bent", None, None), ("low_expected", "thin", None, 40.0),
+                   ("negligible_but_significant", "tiny", None, None), ("collinear", "a", "b", 0.91)}
+    quiet = S.stats_warnings(ranked.where("feature IN ('thin', 'bent')").withColumn("expected_freq_assumption_ok", ranked.significant), signals.limit(0))
+    assert {r.code for r in quiet.collect()} == {"none_significant", "low_expected"}
