@@ -13,6 +13,7 @@ import math
 import random
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
@@ -250,11 +251,24 @@ def best_overall(trials: DataFrame) -> DataFrame:
     return trials.where(F.col("cv_score").isNotNull()).orderBy(*order).limit(1)
 
 
-def log_trials(trials: DataFrame, path: str, run_id: str, run_type: str = "child") -> DataFrame:
-    """H9: append trial records as parquet partitioned by run type; returns the table as read back."""
-    (trials.withColumn("run_id", F.lit(run_id)).withColumn("run_type", F.lit(run_type))
+def log_trials(trials: DataFrame, path: str, run_id: str, run_type: str = "child", parent_id: str | None = None,
+               status: str = "finished", started: datetime | None = None, tags: dict[str, str] | None = None) -> DataFrame:
+    """H9: append trial records of a run as parquet partitioned by run type; returns the table as read back.
+
+    A record has its run's id, parent, status, start time (now, if none is given) and tags beside the trial's own columns.
+    """
+    tag_map = F.create_map(*[F.lit(x) for kv in (tags or {}).items() for x in kv]) if tags else F.create_map().cast("map<string,string>")
+    at = F.lit(started or datetime.now(UTC)).cast("timestamp")
+    (trials.withColumns({"run_id": F.lit(run_id), "parent_id": F.lit(parent_id).cast("string"), "status": F.lit(status), "started": at, "tags": tag_map,
+                         "run_type": F.lit(run_type)})
      .write.mode("append").partitionBy("run_type").parquet(path))
-    return trials.sparkSession.read.parquet(path)
+    return trials.sparkSession.read.option("mergeSchema", "true").parquet(path)
+
+
+def log_parent(trials: DataFrame, path: str, run_id: str, status: str = "finished", started: datetime | None = None,
+               tags: dict[str, str] | None = None) -> DataFrame:
+    """H9: one record for a whole search: its best trial's columns, next to the children that ``log_trials`` writes."""
+    return log_trials(best_overall(trials), path, run_id, "parent", None, status, started, tags)
 
 
 def typed_param(v: F.Column) -> F.Column:
@@ -265,12 +279,16 @@ def typed_param(v: F.Column) -> F.Column:
 
 
 def reuse_best_params(trials: DataFrame) -> DataFrame:
-    """The best run (highest best CV, newest id on ties) → its best trial per model → typed params.
+    """The best run (highest best CV, then newest start, then newest id) → its best trial per model → typed params.
 
-    ``trials`` has run_id, model_id, trial_index, cv_score and long-form param_name / param_value.
+    ``trials`` has run_id, model_id, trial_index, cv_score and long-form param_name / param_value; with ``status`` only
+    finished runs count, with ``started`` the newer of equal runs wins.
     """
-    runs = trials.groupBy("run_id").agg(F.max("cv_score").alias("best_score"))
-    top = runs.orderBy(F.col("best_score").desc(), F.col("run_id").desc()).limit(1)
+    if "status" in trials.columns:
+        trials = trials.where(F.col("status") == "finished")
+    begun = F.max("started") if "started" in trials.columns else F.lit(None)
+    runs = trials.groupBy("run_id").agg(F.max("cv_score").alias("best_score"), begun.alias("begun"))
+    top = runs.orderBy(F.col("best_score").desc(), F.col("begun").desc(), F.col("run_id").desc()).limit(1)
     t = trials.join(top.select("run_id"), "run_id", "left_semi")
     best = t.groupBy("model_id").agg(F.max_by(F.struct("trial_index", "cv_score"),
                                               F.struct("cv_score", -F.col("trial_index"))).alias("b"))
