@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.functions.columns import rnd, as_double, c, r4
+from tabprobe.functions.columns import as_double, c, normalise_nulls, r4, rnd
 
 # fixed thresholds of the reference's rules
 PEARSON_FLAG = 0.85
@@ -39,7 +39,7 @@ def co_missing_pairs(df: DataFrame, cols: Sequence[str], limit: int | None = Non
     pair count is bounded by what is actually missing; one aggregation per batch.
     """
     pairs = list(combinations(list(cols), 2))
-    spark = df.sparkSession
+    df, spark = normalise_nulls(df), df.sparkSession  # NaN is missing, as in the profile
     if not pairs:
         return spark.createDataFrame([], "col_a string, col_b string, co_missing_count long")
     out = None

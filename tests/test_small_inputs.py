@@ -35,3 +35,9 @@ def test_nan_is_missing(spark):
     out = model.transform(df)
     numeric = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
     assert out.where(" OR ".join(f"isnan(`{x}`)" for x in numeric)).count() == 0 if numeric else True
+
+
+def test_nan_is_co_missing(spark):
+    from tabprobe.operators import quality as Q
+    df = spark.createDataFrame([(float("nan"), None), (1.0, "x"), (None, None), (float("nan"), "y")], "a double, b string")
+    assert [tuple(r) for r in Q.co_missing_pairs(df, ["a", "b"]).collect()] == [("a", "b", 2)]
