@@ -251,6 +251,24 @@ def best_overall(trials: DataFrame) -> DataFrame:
     return trials.where(F.col("cv_score").isNotNull()).orderBy(*order).limit(1)
 
 
+def tuning_report(trials: DataFrame) -> DataFrame:
+    """H8: the best trial of each family, with the winner over all and its CV and holdout scores beside it."""
+    b = best_overall(trials).first()
+    return best_per_model(trials).withColumns({
+        "winner": F.lit(b["model_id"] if b else None).cast("string"),
+        "winner_cv": F.lit(b["cv_score"] if b else None).cast("double"),
+        "winner_holdout": F.lit(b["holdout_score"] if b else None).cast("double")})
+
+
+def gain_over_baseline(trials: DataFrame, summary: dict) -> DataFrame:
+    """The tuned winner's holdout score less the best baseline's; NULL where either has none."""
+    best = best_overall(trials).first()
+    tuned = best["holdout_score"] if best else None
+    gain = None if tuned is None or summary["score"] is None else tuned - summary["score"]
+    return trials.sparkSession.createDataFrame([(summary["metric"], summary["score"], tuned, gain)],
+                                               "metric string, baseline double, tuned double, gain double")
+
+
 def log_trials(trials: DataFrame, path: str, run_id: str, run_type: str = "child", parent_id: str | None = None,
                status: str = "finished", started: datetime | None = None, tags: dict[str, str] | None = None) -> DataFrame:
     """H9: append trial records of a run as parquet partitioned by run type; returns the table as read back.

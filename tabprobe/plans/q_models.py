@@ -258,12 +258,7 @@ def g17_refit_and_predict(spark, sf):
 def g18_gain_over_baseline(spark, sf):
     """Tuned (smoke search) best holdout score minus the best baseline score on fx_quality."""
     lb, summary = _leaderboard(spark, sf)
-    trials = _trials(spark, sf)
-    best = H.best_overall(trials).first()
-    tuned = best["holdout_score"] if best else None
-    return spark.createDataFrame([(summary["metric"], summary["score"], tuned,
-                                   None if tuned is None or summary["score"] is None else tuned - summary["score"])],
-                                 "metric string, baseline double, tuned double, gain double")
+    return H.gain_over_baseline(_trials(spark, sf), summary)
 
 
 # ── H ─────────────────────────────────────────────────────────────────────────
@@ -300,12 +295,7 @@ def h4_best_per_model(spark, sf):
 @register("h8_tuning_report")
 def h8_tuning_report(spark, sf):
     """Winner, its parameters, CV and holdout score, and the per-family best table."""
-    t = _trials(spark, sf)
-    b = H.best_overall(t).first()
-    return H.best_per_model(t).withColumns({
-        "winner": F.lit(b["model_id"] if b else None).cast("string"),
-        "winner_cv": F.lit(b["cv_score"] if b else None).cast("double"),
-        "winner_holdout": F.lit(b["holdout_score"] if b else None).cast("double")})
+    return H.tuning_report(_trials(spark, sf))
 
 
 @register("h10_reuse_best_params")

@@ -30,3 +30,11 @@ def test_log_and_reuse(spark, tmp_path):
                                                      F.explode("params").alias("param_name", "param_value"))
     got = {(r.run_id, r.model_id, r.trial_index, r.param_name, r.typed.as_int, r.typed.as_double, r.typed.as_string) for r in H.reuse_best_params(long).collect()}
     assert got == {("a_new", "ridge", 1, "alpha", None, 0.5, None), ("a_new", "tree", 0, "max_depth", 6, None, None), ("a_new", "tree", 0, "kind", None, None, "gini")}
+
+
+def test_report_and_gain(spark):
+    t = spark.createDataFrame([("a", "unweighted", 0, 0.6, 0.55, {}), ("a", "unweighted", 1, 0.7, 0.65, {}), ("b", "unweighted", 0, 0.4, 0.5, {}), ("c", "unweighted", 0, None, None, {})], TRIALS)
+    got = {r.model_id: (r.cv_score, r.winner, r.winner_cv, r.winner_holdout) for r in H.tuning_report(t).collect()}
+    assert got == {"a": (0.7, "a", 0.7, 0.65), "b": (0.4, "a", 0.7, 0.65)}
+    assert abs(H.gain_over_baseline(t, {"metric": "accuracy", "score": 0.6}).first()["gain"] - 0.05) < 1e-12
+    assert H.gain_over_baseline(t.limit(0), {"metric": "accuracy", "score": 0.6}).first()["gain"] is None
